@@ -109,7 +109,8 @@ def finding_risks(findings: DataFrame, correlations: DataFrame | None = None, me
         return with_score(scored.withColumn("multiplier", F.lit(1.0)).withColumn("via", F.lit(None).cast("string")))
     links = correlations.where((F.col("status") == "verified") & F.col("relationship_type").isin(*MULTIPLYING))
     best = (
-        members.join(links.select("repo_id", "signature", "risk_multiplier"), ["repo_id", "signature"])
+        members.select("repo_id", "signature", "finding_id")
+        .join(links.select("repo_id", "signature", "risk_multiplier"), ["repo_id", "signature"])
         .where(F.col("risk_multiplier") > 1.0)
         .groupBy("repo_id", "finding_id")
         .agg(

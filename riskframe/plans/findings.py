@@ -141,14 +141,14 @@ c1_pairs AS (
 c2_groups AS (
   SELECT repo_id, lower(package) AS pkg, arg_min(finding_id, born) AS first FROM live
   WHERE category = 'dependency' AND package IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-file_rows AS (SELECT DISTINCT repo_id, finding_id, category, unnest(affected_files) AS file FROM live),
+file_rows AS (SELECT DISTINCT repo_id, finding_id, category, unnest(affected_files) AS fpath FROM live),
 pkg_rows AS (SELECT repo_id, finding_id, category, unnest(pkgs) AS pkg FROM live),
 c3_v AS (SELECT repo_id, lower(package) AS pkg, arg_max(finding_id, born) AS v FROM live
   WHERE category = 'dependency' AND vulnerable AND package IS NOT NULL GROUP BY ALL),
 c3_u AS (SELECT DISTINCT repo_id, pkg, p.finding_id FROM pkg_rows p JOIN c3_v USING (repo_id, pkg) WHERE category NOT IN ('dependency', 'testing')),
-c3_files AS (SELECT DISTINCT u.repo_id, pkg, file FROM c3_u u JOIN file_rows f ON u.repo_id = f.repo_id AND u.finding_id = f.finding_id),
+c3_files AS (SELECT DISTINCT u.repo_id, pkg, fpath FROM c3_u u JOIN file_rows f ON u.repo_id = f.repo_id AND u.finding_id = f.finding_id),
 c3_used AS (SELECT DISTINCT repo_id, pkg FROM c3_u),
-c3_t AS (SELECT f.repo_id, pkg, f.finding_id FROM file_rows f JOIN c3_files c ON f.repo_id = c.repo_id AND f.file = c.file WHERE category = 'testing'
+c3_t AS (SELECT f.repo_id, pkg, f.finding_id FROM file_rows f JOIN c3_files c ON f.repo_id = c.repo_id AND f.fpath = c.fpath WHERE category = 'testing'
   UNION SELECT p.repo_id, p.pkg, p.finding_id FROM pkg_rows p JOIN c3_used USING (repo_id, pkg) WHERE category = 'testing'),
 c3_m AS (SELECT repo_id, pkg, v AS finding_id, true AS is_lead FROM c3_v JOIN c3_used USING (repo_id, pkg)
   UNION ALL SELECT repo_id, pkg, finding_id, false FROM c3_u UNION ALL SELECT repo_id, pkg, finding_id, false FROM c3_t),
@@ -158,20 +158,20 @@ c4_rows AS (
     AND len(list_filter(affected_files, lambda x: NOT regexp_matches(x, {TEST_PATH_SQL}))) > 0))),
 c4_groups AS (SELECT repo_id, component, count(*) FILTER (sec) AS n_sec, arg_min(finding_id, born) FILTER (sec) AS first
   FROM c4_rows GROUP BY ALL HAVING (n_sec >= 2 AND count(*) FILTER (NOT sec) > 0) OR n_sec >= 3),
-c5_q AS (SELECT DISTINCT l.repo_id, l.finding_id, file FROM live l JOIN file_rows f USING (repo_id, finding_id) WHERE l.category = 'code_quality' AND NOT l.accepts),
+c5_q AS (SELECT DISTINCT l.repo_id, l.finding_id, fpath FROM live l JOIN file_rows f USING (repo_id, finding_id) WHERE l.category = 'code_quality' AND NOT l.accepts),
 c5_p AS (SELECT l.repo_id, 'perfarch:' || affected_files[1] || ':' || rule_id AS signature, arg_max(l.finding_id, born) AS p
-  FROM live l WHERE category = 'performance' AND EXISTS (SELECT 1 FROM file_rows f JOIN c5_q q ON f.repo_id = q.repo_id AND f.file = q.file WHERE f.repo_id = l.repo_id AND f.finding_id = l.finding_id)
+  FROM live l WHERE category = 'performance' AND EXISTS (SELECT 1 FROM file_rows f JOIN c5_q q ON f.repo_id = q.repo_id AND f.fpath = q.fpath WHERE f.repo_id = l.repo_id AND f.finding_id = l.finding_id)
   GROUP BY ALL),
 c6_rows AS (SELECT repo_id, finding_id, born, category = 'maintenance' AS m FROM live
   WHERE (category = 'maintenance' AND rule_id IN ('maintenance.inactive', 'maintenance.archived', 'maintenance.bus_factor')) OR (category = 'dependency' AND vulnerable)),
 c6_groups AS (SELECT repo_id, arg_min(finding_id, born) FILTER (m) AS first FROM c6_rows GROUP BY ALL HAVING count(*) FILTER (m) > 0 AND count(*) FILTER (NOT m) > 0),
 c7_d AS (SELECT repo_id, pkg, arg_max(finding_id, born) AS d FROM (SELECT *, unnest(list_distinct(packages)) AS pkg FROM live WHERE rule_id = 'dependency.unpinned') GROUP BY ALL),
 c7_r AS (SELECT p.repo_id, pkg, p.finding_id FROM pkg_rows p JOIN c7_d USING (repo_id, pkg) WHERE category <> 'dependency'),
-c8_spots AS (SELECT repo_id, category, agent, born, finding_id, file, unnest(list_distinct(lines)) AS line FROM live JOIN (SELECT repo_id AS r2, finding_id AS f2, file FROM file_rows) ON r2 = repo_id AND f2 = finding_id),
+c8_spots AS (SELECT repo_id, category, agent, born, finding_id, fpath, unnest(list_distinct(lines)) AS line FROM live JOIN (SELECT repo_id AS r2, finding_id AS f2, fpath FROM file_rows) ON r2 = repo_id AND f2 = finding_id),
 c8_pairs AS (
   SELECT DISTINCT b.repo_id, arg_min(a.finding_id, a.born) AS lead_id, b.finding_id FROM c8_spots b JOIN c8_spots a
-    ON a.repo_id = b.repo_id AND a.category = b.category AND a.file = b.file AND a.line = b.line AND a.agent <> b.agent AND a.born < b.born
-  GROUP BY b.repo_id, b.category, b.file, b.line, b.finding_id),
+    ON a.repo_id = b.repo_id AND a.category = b.category AND a.fpath = b.fpath AND a.line = b.line AND a.agent <> b.agent AND a.born < b.born
+  GROUP BY b.repo_id, b.category, b.fpath, b.line, b.finding_id),
 links AS (
   SELECT repo_id, signature, issue AS finding_id, true AS is_lead, 'contradiction' AS kind, 1e0 AS mult, 0.9e0 AS strength, 0 AS gen FROM c1_pairs
   UNION ALL SELECT repo_id, signature, ok, false, 'contradiction', 1e0, 0.9e0, 0 FROM c1_pairs
@@ -180,7 +180,7 @@ links AS (
     JOIN (SELECT m.repo_id, pkg, count(DISTINCT category) AS dims FROM c3_m m JOIN live l ON l.finding_id = m.finding_id GROUP BY ALL) USING (repo_id, pkg)
   UNION ALL SELECT r.repo_id, 'cluster:' || component, r.finding_id, r.finding_id = first, 'compound_risk', least(1.5e0, 1 + 0.1e0 * n_sec), 0.8e0, 3 FROM c4_rows r JOIN c4_groups USING (repo_id, component)
   UNION ALL SELECT repo_id, signature, p, true, 'causal', 1.1e0, 0.8e0, 4 FROM c5_p
-  UNION ALL SELECT DISTINCT q.repo_id, signature, q.finding_id, false, 'causal', 1.1e0, 0.8e0, 4 FROM c5_p c JOIN file_rows f ON f.repo_id = c.repo_id AND f.finding_id = c.p JOIN c5_q q ON q.repo_id = f.repo_id AND q.file = f.file
+  UNION ALL SELECT DISTINCT q.repo_id, signature, q.finding_id, false, 'causal', 1.1e0, 0.8e0, 4 FROM c5_p c JOIN file_rows f ON f.repo_id = c.repo_id AND f.finding_id = c.p JOIN c5_q q ON q.repo_id = f.repo_id AND q.fpath = f.fpath
   UNION ALL SELECT repo_id, 'maint:dep', finding_id, finding_id = first, 'compound_risk', 1.3e0, 0.75e0, 5 FROM c6_rows JOIN c6_groups USING (repo_id)
   UNION ALL SELECT repo_id, 'deplink:' || pkg, d, true, 'dependency', 1.05e0, 0.85e0, 6 FROM c7_d WHERE (repo_id, pkg) IN (SELECT repo_id, pkg FROM c7_r)
   UNION ALL SELECT repo_id, 'deplink:' || pkg, finding_id, false, 'dependency', 1.05e0, 0.85e0, 6 FROM c7_r
