@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import confidence, correlate, risk, verify
 from riskframe.plans.registry import query
+from riskframe.session import stage
 from riskframe.sources.adapters import adapt
 
 # ---- shared parts of the checks -----------------------------------------------------------------
@@ -188,14 +189,14 @@ links AS (
 headers AS (
   SELECT l.repo_id, signature, kind, mult, strength, gen, count(*) AS n_members, count(DISTINCT agent) AS n_agents,
     round(greatest(0.05e0, least(0.99e0, exp(avg(ln(greatest(0.01e0, confidence)))) * strength)) + 1e-10, 3) AS confidence
-  FROM links l JOIN scored s ON s.finding_id = l.finding_id GROUP BY ALL)"""
+  FROM links l JOIN scored s ON s.finding_id = l.finding_id GROUP BY l.repo_id, signature, kind, mult, strength, gen)"""
 ).replace("live EXCLUDE_COMPONENT", "(SELECT * EXCLUDE (component) FROM live)")
 
 
 def correlated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and the members of all candidate relationships; the findings are read by every generator."""
-    findings = scored_findings(spark, sf_dir).drop("confidence_factors").persist()
-    return findings, correlate.candidate_members(findings)
+    """Findings and the members of all candidate relationships, both staged: every generator and ruling reads them."""
+    findings = stage(scored_findings(spark, sf_dir).drop("confidence_factors"))
+    return findings, stage(correlate.candidate_members(findings))
 
 
 def _generator_query(name: str, generate, kind_filter: str):
@@ -307,7 +308,7 @@ SCORE_SQL = "round(100 * (1 - exp(-2.2e0 * {w} * {c} * {i} * {e} * {m})) + 1e-10
 )
 def finding_risk_with_links(spark, sf_dir):
     findings, members = correlated(spark, sf_dir)
-    ruled = verify.rule_on_correlations(correlate.assess(members), members, findings)
+    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
     return risk.finding_risks(findings, ruled, members).select("repo_id", "finding_id", "multiplier", "via", "score")
 
 
@@ -327,7 +328,7 @@ def finding_risk_with_links(spark, sf_dir):
 )
 def compound_risk(spark, sf_dir):
     findings, members = correlated(spark, sf_dir)
-    ruled = verify.rule_on_correlations(correlate.assess(members), members, findings)
+    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
     return risk.compound_risks(findings, ruled, members).select(
         "repo_id",
         "signature",
@@ -349,5 +350,5 @@ def compound_risk(spark, sf_dir):
 )
 def excluded_findings(spark, sf_dir):
     findings, members = correlated(spark, sf_dir)
-    ruled = verify.rule_on_correlations(correlate.assess(members), members, findings)
+    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
     return risk.excluded_findings(findings, ruled, members)

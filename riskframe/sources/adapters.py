@@ -187,7 +187,10 @@ ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A driver table; its zone-less instants are UTC (``spark.sql.session.timeZone``)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    zoneless = {f.name: df[f.name].cast("timestamp") for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"}
+    return df.withColumns(zoneless) if zoneless else df
 
 
 def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
