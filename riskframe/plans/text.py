@@ -92,8 +92,8 @@ def wrapped_untrusted_text(spark, sf_dir):
 
 
 SIGNAL_PATTERNS = C.INJECTION_PATTERNS + (
-    ("pair_of_words", r"(?i)\bfor\b.{0,40}\bwith\b"),
-    ("word_and_word", r"(?i)\b(the|der|les|los)\b.{0,20}\b(and|und|des|que)\b"),
+    ("pair_of_words", r"(?i)(^| )for .{0,40} with( |$)"),
+    ("word_and_word", r"(?i)(^| )(the|der|les|los) .{0,20}(and|und|des|que)( |$)"),
 )
 
 
