@@ -1,6 +1,6 @@
 """Registered queries by area. Importing this package fills the registry."""
 
-from riskframe.plans import activity, findings, graph, store, text  # noqa: F401
+from riskframe.plans import activity, cases, findings, graph, store, text, watch  # noqa: F401
 from riskframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
