@@ -14,6 +14,11 @@ REDACTION_MARKERS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-
 REDACTION_MARKERS_ANY_CASE = ("bearer", "://", "api", "secret", "token", "passw", "authorization")
 
 
+def strip(text: Column) -> Column:
+    """Without white space on either side, tabs and line breaks included."""
+    return F.trim(text, F.lit(" \t\r\n\f\u000b"))
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line break does not start another line."""
     parts = F.split(text, LINE_BREAK, -1)

@@ -1,7 +1,7 @@
 """Graph operators as rounds of joins.
 
-Each round joins only what the last round found, removes what is known and cuts the lineage; the loop ends when a round
-finds nothing. Labels travel instead of node pairs wherever a question allows it, so results stay linear in the nodes.
+Each round joins only what the last round found, removes what is known and writes what is new as a table, whose size
+tells the planner whether it may be broadcast; the loop ends when a round finds nothing. Labels travel instead of node pairs wherever a question allows it, so results stay linear in the nodes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.lookup import lookup
 from riskframe.functions.paths import is_test_path
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, stage
 
+MERGE_EVERY = 8
 REACH_ORDER = {"entrypoint": 0, "reachable": 1, "test_only": 2, "unreferenced": 3, "n/a": 4}
 
 
@@ -20,21 +21,45 @@ def spread(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: l
     """Everything labels reach along edges.
 
     ``seeds(keys…, source, label…)`` start; an edge ``(keys…, source, target)`` carries a node's labels to ``target``.
-    The result has the same columns as the seeds and includes them.
+    The result has the same columns as the seeds and includes them. Each round writes only what it found; the rounds so
+    far are merged into one table from time to time.
     """
     columns = seeds.columns
-    links = cut_lineage(edges.select(*keys, source, target).where(F.col(source) != F.col(target)).distinct())
-    known = cut_lineage(seeds.distinct())
-    frontier = known
+    links = stage(edges.select(*keys, source, target).where(F.col(source) != F.col(target)).distinct())
+    known = frontier = stage(seeds.distinct())
     rounds = 0
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         moved = frontier.join(links, [*keys, source]).drop(source).withColumnRenamed(target, source).select(*columns)
-        frontier = cut_lineage(moved.distinct().join(known, columns, "left_anti"))
-        known = cut_lineage(known.unionByName(frontier))
+        frontier = stage(moved.distinct().join(known, columns, "left_anti"))
+        known = known.unionByName(frontier)
         rounds += 1
+        if rounds % MERGE_EVERY == 0:
+            known = stage(known)
     return known
 
 
+def spread_best(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: list[str]) -> DataFrame:
+    """The highest rank each node receives along edges: ``(keys…, source, rank)``.
+
+    Like ``spread`` for labels that are ordered: a node passes on only a rank above all it had before.
+    """
+    node = [*keys, source]
+    links = stage(edges.select(*node, target).where(F.col(source) != F.col(target)).distinct())
+    known = frontier = stage(seeds.groupBy(*node).agg(F.max("rank").alias("rank")))
+    rounds = 0
+    while not frontier.isEmpty():
+        moved = frontier.join(links, node).drop(source).withColumnRenamed(target, source)
+        offered = moved.groupBy(*node).agg(F.max("rank").alias("rank"))
+        held = known.groupBy(*node).agg(F.max("rank").alias("_held"))
+        better = offered.join(held, node, "left").where(F.col("_held").isNull() | (F.col("rank") > F.col("_held")))
+        frontier = stage(better.select(*node, "rank"))
+        known = known.unionByName(frontier)
+        rounds += 1
+        if rounds % MERGE_EVERY == 0:
+            known = stage(known.groupBy(*node).agg(F.max("rank").alias("rank")))
+    return known.groupBy(*node).agg(F.max("rank").alias("rank"))
+
+
 def transitive_importers(edges: DataFrame, files: DataFrame) -> DataFrame:
     """All direct and indirect importers of the given files: ``repo_id, path, importer``. Cycles are fine.
 
@@ -54,36 +79,24 @@ def transitive_importers(edges: DataFrame, files: DataFrame) -> DataFrame:
 def reach_of_files(files: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """How far production can get to each Python file: entrypoint, reachable, test_only or unreferenced.
 
-    Three labels travel from importers to what they import: *entry*, *production* and *any*. No importer pairs are built.
+    One rank travels from importers to what they import: an entry point's, a production module's or a test's. A node
+    keeps the best rank it receives, so no importer pairs are built.
     ``files(repo_id, path)``, ``edges(repo_id, importer, path)``, ``entrypoints(repo_id, path)``.
     """
     importers = edges.select("repo_id", F.col("importer").alias("node")).distinct()
-    entries = entrypoints.select("repo_id", F.col("path").alias("node")).withColumn("_entry", F.lit(True))
-    labels = F.array_compact(
-        F.array(
-            F.lit("any"),
-            F.when(~is_test_path(F.col("node")), F.lit("production")),
-            F.when(F.coalesce("_entry", F.lit(False)), F.lit("entry")),
-        )
-    )
-    own = importers.join(entries, ["repo_id", "node"], "left").select("repo_id", "node", F.explode(labels).alias("label"))
-    # A file's own labels are not about itself: they start at what it imports.
+    entries = entrypoints.select("repo_id", F.col("path").alias("node")).distinct().withColumn("_entry", F.lit(True))
+    production = ~is_test_path(F.col("node"))
+    rank = F.when(production & F.coalesce("_entry", F.lit(False)), 3).when(production, 2).otherwise(1)
+    own = importers.join(entries, ["repo_id", "node"], "left").select("repo_id", "node", rank.alias("rank"))
+    # A file's own rank is not about itself: it starts at what the file imports.
     links = edges.select("repo_id", F.col("importer").alias("node"), F.col("path").alias("imported"))
-    started = (
-        own.join(links, ["repo_id", "node"])
-        .select("repo_id", F.col("imported").alias("node"), "label")
-        .distinct()
-    )
-    reached = spread(started, links, "node", "imported", ["repo_id"])
-    best = reached.groupBy("repo_id", F.col("node").alias("path")).agg(
-        F.max(F.col("label") == "entry").alias("_e"), F.max(F.col("label") == "production").alias("_p"), F.lit(True).alias("_a")
-    )
-    python = F.col("path").endswith(".py")
+    started = own.join(links, ["repo_id", "node"]).select("repo_id", F.col("imported").alias("node"), "rank")
+    best = spread_best(started, links, "node", "imported", ["repo_id"]).withColumnRenamed("node", "path")
     reach = (
-        F.when(~python, F.lit("n/a"))
-        .when(F.coalesce("_self", F.lit(False)) | F.coalesce("_e", F.lit(False)), F.lit("entrypoint"))
-        .when(F.coalesce("_p", F.lit(False)), F.lit("reachable"))
-        .when(F.coalesce("_a", F.lit(False)), F.lit("test_only"))
+        F.when(~F.col("path").endswith(".py"), F.lit("n/a"))
+        .when(F.coalesce("_self", F.lit(False)) | (F.col("rank") == 3), F.lit("entrypoint"))
+        .when(F.col("rank") == 2, F.lit("reachable"))
+        .when(F.col("rank") == 1, F.lit("test_only"))
         .otherwise(F.lit("unreferenced"))
     )
     own_entry = entrypoints.select("repo_id", "path").distinct().withColumn("_self", F.lit(True))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskframe import constants as C
 from riskframe.functions import paths
 from riskframe.functions.licenses import normalise_expression, spdx_header
-from riskframe.functions.text import LINE_BREAK, clean_markup, mask, may_hold_secret, split_lines
+from riskframe.functions.text import LINE_BREAK, clean_markup, mask, may_hold_secret, split_lines, strip
 
 # Secret rules: id, pattern, group of the value, severity.
 SECRET_RULES = (
@@ -45,7 +45,7 @@ def search_lines(files: DataFrame, pattern: str, suffixes: Sequence[str] = (), s
         lambda x: F.rlike(x["t"], F.lit(pattern)),
     )
     return df.where(F.rlike("text", F.lit(pattern))).select("repo_id", "path", F.inline(hits)).select(
-        "repo_id", "path", "line", F.left(F.trim("t"), F.lit(400)).alias("excerpt")
+        "repo_id", "path", "line", F.left(strip(F.col("t")), F.lit(400)).alias("excerpt")
     )
 
 
@@ -140,18 +140,31 @@ def injection_signals(
         ),
     )
 
+    flat = F.col("_flat")
+
     def matches(name: str, pattern: str) -> Column:
-        hit = F.filter(pairs, lambda x: F.rlike(x["t"], F.lit(pattern)) | F.rlike(x["w"], F.lit(pattern)))
+        # A match inside a line is also one in the line with its successor, unless the pattern asks for the line's end.
+        at_end = "$" in pattern
+
+        def hits(x: Column) -> Column:
+            both = F.rlike(x["w"], F.lit(pattern))
+            return both | F.rlike(x["t"], F.lit(pattern)) if at_end else both
+
+        # Files that match nowhere, line breaks read as blanks, are left after one pass.
+        candidates = pairs if at_end else F.when(F.rlike(flat, F.lit(pattern)), pairs)
         return F.transform(
-            hit,
+            F.coalesce(F.filter(candidates, hits), F.array().cast(kind)),
             lambda x: F.struct(
-                F.lit(name).alias("pattern"), x["line"].alias("line"), F.left(F.trim(x["t"]), F.lit(240)).alias("excerpt")
+                F.lit(name).alias("pattern"), x["line"].alias("line"), F.left(strip(x["t"]), F.lit(240)).alias("excerpt")
             ),
         )
 
+    kind = "array<struct<line:int,t:string,w:string>>"
     matched = F.flatten(F.array(*[matches(name, pattern) for name, pattern in patterns]))
     hits = (
-        files.withColumn("_lines", split_lines(F.col("text")))
+        files.withColumns(
+            {"_lines": split_lines(F.col("text")), "_flat": F.regexp_replace("text", LINE_BREAK, " ")}
+        )
         .select("repo_id", "path", F.inline(matched))
     )
     by_pattern = Window.partitionBy("repo_id", "path", "pattern").orderBy("line")
@@ -249,7 +262,7 @@ def seed_rows(files: DataFrame, table: str = "ORDERS") -> DataFrame:
     count = F.aggregate(
         blocks,
         F.lit(0),
-        lambda acc, b: acc + F.size(F.filter(F.slice(F.split(b, LINE_BREAK), F.lit(2), F.size(F.split(b, LINE_BREAK))), lambda l: F.trim(l).startswith("("))),
+        lambda acc, b: acc + F.size(F.filter(F.slice(F.split(b, LINE_BREAK), F.lit(2), F.size(F.split(b, LINE_BREAK))), lambda row: strip(row).startswith("("))),
     )
     return (
         files.where(F.col("path").endswith(".sql"))

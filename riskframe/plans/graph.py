@@ -11,7 +11,8 @@ from riskframe.sources import manifests, snapshots
 from riskframe.sources.adapters import adapt, table
 
 MODULE_SQL = "(CASE WHEN {p} % 10 = 0 THEN concat('tests/test_m', {p}, '.py') WHEN {p} % 97 = 1 THEN concat('src/api/m', {p}, '.py') ELSE concat('src/core/m', {p}, '.py') END)"
-IMPORTED = "(CASE WHEN l_linenumber = 7 THEN l_partkey + 1 ELSE l_partkey + (l_partkey + l_linenumber) % 5 * 200 END)"
+# Imports halve the module number, so chains are as deep as its bits; line 7 points upwards and makes cycles.
+IMPORTED = "(CASE WHEN l_linenumber = 7 THEN l_partkey + 1 ELSE CAST(floor(l_partkey / 2) AS BIGINT) END)"
 EDGES_SQL = f"""edges AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, {MODULE_SQL.format(p='l_partkey')} AS importer, {MODULE_SQL.format(p=IMPORTED)} AS path FROM lineitem WHERE l_partkey % 4 <> 3),
     nodes AS (SELECT DISTINCT repo_id, path FROM (SELECT repo_id, importer AS path FROM edges UNION ALL SELECT repo_id, path FROM edges))"""
 
@@ -31,7 +32,7 @@ def nodes_of(edges):
     "reachability",
     f"""WITH RECURSIVE {EDGES_SQL},
     reach(repo_id, node, label) AS (
-      SELECT DISTINCT e.repo_id, e.path, l.label FROM edges e, LATERAL (SELECT unnest(['any', CASE WHEN NOT starts_with(importer, 'tests/') THEN 'production' END, CASE WHEN contains(importer, '/api/') THEN 'entry' END]) AS label) l WHERE label IS NOT NULL
+      SELECT DISTINCT e.repo_id, e.path, l.label FROM edges e, LATERAL (SELECT unnest(['any', CASE WHEN NOT starts_with(importer, 'tests/') THEN 'production' END, CASE WHEN contains(importer, '/api/') AND NOT starts_with(importer, 'tests/') THEN 'entry' END]) AS label) l WHERE label IS NOT NULL
       UNION SELECT r.repo_id, e.path, r.label FROM reach r JOIN edges e ON e.repo_id = r.repo_id AND e.importer = r.node),
     best AS (SELECT repo_id, node, max(label = 'entry') AS e, max(label = 'production') AS p FROM reach GROUP BY ALL)
     SELECT n.repo_id, n.path, CASE WHEN contains(n.path, '/api/') OR coalesce(e, false) THEN 'entrypoint' WHEN p THEN 'reachable' WHEN p IS NOT NULL THEN 'test_only' ELSE 'unreferenced' END AS reach

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions import paths
-from riskframe.functions.text import split_lines
+from riskframe.functions.text import split_lines, strip
 from riskframe.session import cut_lineage
 from riskframe.sources.files import lines
 
@@ -25,11 +25,11 @@ def _null_if_empty(value: Column) -> Column:
 
 def python_requirement(raw: Column) -> Column:
     """Struct ``name, spec, version`` of a requirement text; null on comments, options, addresses and paths."""
-    trimmed = F.trim(raw)
-    bare = F.trim(F.regexp_replace(trimmed, r" #.*$", ""))
+    trimmed = strip(raw)
+    bare = strip(F.regexp_replace(trimmed, r" #.*$", ""))
     skipped = (trimmed == "") | F.rlike(trimmed, F.lit(r"^(#|-|git\+|http:|https:|file:|\.)"))
     spec = F.replace(
-        F.regexp_replace(F.trim(F.regexp_extract(bare, REQUIREMENT, 3)), r"^[()]+|[()]+$", ""), F.lit(" "), F.lit("")
+        F.regexp_replace(strip(F.regexp_extract(bare, REQUIREMENT, 3)), r"^[()]+|[()]+$", ""), F.lit(" "), F.lit("")
     )
     exact = _null_if_empty(F.regexp_extract(spec, EXACT_PYTHON, 1))
     return F.when(
@@ -69,12 +69,12 @@ def included_requirements(files: DataFrame, max_depth: int = 3) -> DataFrame:
         if frontier.isEmpty():
             break
         inside = texts.join(frontier, ["repo_id", "path"], "left_semi")
-        include = F.regexp_extract(F.trim("line_text"), r"^(?:-r|--requirement)\s+(\S.*)$", 1)
+        include = F.regexp_extract(strip(F.col("line_text")), r"^(?:-r|--requirement)\s+(\S.*)$", 1)
         folder = F.regexp_replace("path", r"[^/]+$", "")
         targets = (
             lines(inside)
-            .where(F.rlike(F.trim("line_text"), F.lit(r"^(-r|--requirement) ")))
-            .select("repo_id", F.regexp_replace(F.concat(folder, F.trim(include)), r"(^|/)\./", "$1").alias("path"))
+            .where(F.rlike(strip(F.col("line_text")), F.lit(r"^(-r|--requirement) ")))
+            .select("repo_id", F.regexp_replace(F.concat(folder, strip(include)), r"(^|/)\./", "$1").alias("path"))
             .where(~F.rlike("path", F.lit(r"(^|/)\.\.(/|$)")))
             .distinct()
         )
@@ -105,7 +105,7 @@ def _sectioned(files: DataFrame) -> DataFrame:
     down = Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return (
         lines(files.select("repo_id", "path", "text"))
-        .withColumn("section", F.trim(F.last(header, ignorenulls=True).over(down)))
+        .withColumn("section", strip(F.last(header, ignorenulls=True).over(down)))
         .withColumn("key", F.last(key, ignorenulls=True).over(down))
         .withColumn("_starts", F.coalesce(key != "", F.lit(False)))
         .where(header.isNull())
@@ -140,7 +140,7 @@ def pyproject_files(files: DataFrame) -> DataFrame:
         & F.col("_starts")
         & (F.lower("key") != "python")
     ).withColumn("_spec", _table_spec())
-    exact = _null_if_empty(F.regexp_extract(F.trim("_spec"), r"^=?=?(\d+(?:\.\d+)*)$", 1))
+    exact = _null_if_empty(F.regexp_extract(strip(F.col("_spec")), r"^=?=?(\d+(?:\.\d+)*)$", 1))
     from_tables = _dependencies(
         poetry, "PyPI", F.col("key"), F.col("_spec"), exact, F.col("section") == "tool.poetry.dev-dependencies"
     )
@@ -157,7 +157,7 @@ def pipfiles(files: DataFrame) -> DataFrame:
 def cargo_files(files: DataFrame) -> DataFrame:
     rows = _sectioned(files.where(paths.file_name(F.col("path")) == "Cargo.toml"))
     listed = rows.where(F.col("section").isin("dependencies", "dev-dependencies") & F.col("_starts")).withColumn("_spec", _table_spec())
-    exact = _null_if_empty(F.regexp_extract(F.trim("_spec"), r"^=\s*(\d+\.\d+\.\d+)$", 1))
+    exact = _null_if_empty(F.regexp_extract(strip(F.col("_spec")), r"^=\s*(\d+\.\d+\.\d+)$", 1))
     return _dependencies(listed, "crates.io", F.col("key"), F.col("_spec"), exact, F.col("section") == "dev-dependencies")
 
 
@@ -190,7 +190,7 @@ def npm_manifests(files: DataFrame) -> DataFrame:
         .groupBy("repo_id", "_folder", "name")
         .agg(F.min_by("_lock", "_o").alias("_lock"))
     )
-    exact = _null_if_empty(F.regexp_extract(F.trim("spec"), EXACT_SEMVER, 1))
+    exact = _null_if_empty(F.regexp_extract(strip(F.col("spec")), EXACT_SEMVER, 1))
     joined = rows.withColumn("_folder", F.regexp_replace("path", r"[^/]+$", "")).join(
         locked, ["repo_id", "_folder", "name"], "left"
     )
@@ -214,7 +214,7 @@ def npm_manifests(files: DataFrame) -> DataFrame:
 def go_modules(files: DataFrame) -> DataFrame:
     """``require`` lines and blocks of ``go.mod``; indirect modules count as dev."""
     rows = lines(files.where(paths.file_name(F.col("path")) == "go.mod").select("repo_id", "path", "text"))
-    code = F.trim(F.regexp_replace("line_text", r"//.*$", ""))
+    code = strip(F.regexp_replace("line_text", r"//.*$", ""))
     state = F.when(code.startswith("require ("), F.lit(1)).when(code == ")", F.lit(0))
     down = Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     tracked = rows.withColumn("_open", F.coalesce(F.last(state, ignorenulls=True).over(down), F.lit(0))).withColumn("_code", code)
