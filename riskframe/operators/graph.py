@@ -227,20 +227,22 @@ def inherited_members(classes: DataFrame, members: DataFrame, vanished: DataFram
 def follow_aliases(aliases: DataFrame, symbols: DataFrame, hops: int = 6) -> DataFrame:
     """Resolve re-exported names to the symbol behind them, at most ``hops`` steps: ``library, name, target``.
 
-    ``aliases(library, name, source)``, ``symbols(library, name)``. The steps are unrolled, so the plan is fixed.
+    ``aliases(library, name, source)``, ``symbols(library, name)``. Each step is staged and holds only unresolved names.
     """
     real = symbols.select("library", F.col("name").alias("at")).distinct()
-    step = aliases.select("library", F.col("name").alias("at"), F.col("source").alias("next")).distinct()
-    pending = aliases.select("library", "name", F.col("source").alias("at")).distinct()
+    step = stage(aliases.select("library", F.col("name").alias("at"), F.col("source").alias("next")).distinct())
+    pending = step.select("library", F.col("at").alias("name"), F.col("next").alias("at"))
     done = None
     for _ in range(hops + 1):
         arrived = pending.join(real, ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target"))
         done = arrived if done is None else done.unionByName(arrived)
-        pending = (
+        pending = stage(
             pending.join(real, ["library", "at"], "left_anti")
             .join(step, ["library", "at"])
             .select("library", "name", F.col("next").alias("at"))
         )
+        if pending.isEmpty():
+            break
     return done.distinct()
 
 
@@ -261,5 +263,5 @@ def propagate_contracts(rules: DataFrame, delegates: DataFrame, rounds: int = 3)
             .agg(F.min("message").alias("message"))
             .join(current, ["library", "name", "param", "kind"], "left_anti")
         )
-        current = current.unionByName(inherited)
+        current = stage(current.unionByName(inherited))
     return current

@@ -99,7 +99,8 @@ def _sectioned(files: DataFrame) -> DataFrame:
     """Lines with the section they are in and the key they belong to, both carried forward inside the file."""
     header = _null_if_empty(F.regexp_extract("line_text", r"^\s*\[+([^\]]+)\]+\s*(#.*)?$", 1))
     key = F.coalesce(
-        _null_if_empty(F.regexp_extract("line_text", r"^\s*\"?([A-Za-z0-9_.-]+)\"?\s*=", 1)),
+        _null_if_empty(F.regexp_extract("line_text", r"^\s*\"([^\"]+)\"\s*=[^=]", 1)),
+        _null_if_empty(F.regexp_extract("line_text", r"^\s*([A-Za-z0-9_.-]+)\s*=[^=]", 1)),
         F.when(header.isNotNull(), F.lit("")),
     )
     down = Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
