@@ -11,7 +11,7 @@ from riskframe.session import stage
 from riskframe.sources.adapters import table
 from riskframe.sources.pyfacts import python_facts
 
-# Order k: one function with k % 4 nested branches in a loop, a call chosen by k % 6, an import of the module of k / 2.
+# Order k: one function with k % 6 nested branches in a loop, a call chosen by k % 6, an import of the module of k / 2.
 CALLS = ("jwt.decode(x, verify=False)", "jwt.decode(x)", "hashlib.md5(x)", "yaml.load(x)", "db.execute('q' % x)", "requests.get(x)")
 RULES = ("jwt_verification_disabled", "jwt_no_algorithms", "", "yaml_unsafe_load", "sql_injection", "")
 
@@ -21,7 +21,7 @@ def source_files(spark, sf_dir) -> DataFrame:
     folder = F.when(key % 9 == 0, F.lit("tests/test_m")).otherwise(F.lit("pkg/m"))
     call = F.element_at(F.array(*[F.lit(c) for c in CALLS]), (key % 6 + 1).cast("int"))
     pad = lambda n: F.repeat(F.lit(" "), n.cast("int"))
-    depth = key % 4
+    depth = key % 6
     branches = F.array_join(
         F.transform(F.sequence(F.lit(0), depth.cast("int")), lambda i: F.when(i > 0, F.concat(pad(4 + 4 * i), F.lit("if i and x:\n"))).otherwise(F.lit(""))),
         "",
@@ -52,7 +52,7 @@ def facts_of(spark, sf_dir) -> DataFrame:
 
 @query(
     "function_metrics",
-    f"WITH {SOURCE_SQL} SELECT repo_id, path, CAST(2 + 2 * (k % 4) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS INT) AS complexity, CAST(1 + k % 4 AS INT) AS nesting FROM src",
+    f"WITH {SOURCE_SQL} SELECT repo_id, path, CAST(2 + 2 * (k % 6) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS INT) AS complexity, CAST(1 + k % 6 AS INT) AS nesting FROM src",
 )
 def function_metrics(spark, sf_dir):
     return facts_of(spark, sf_dir).where("fact = 'function'").select("repo_id", "path", "complexity", "nesting")
@@ -61,7 +61,7 @@ def function_metrics(spark, sf_dir):
 @query(
     "insecure_calls",
     f"""WITH {SOURCE_SQL} SELECT repo_id, path, 'security.' || CASE k % 6 WHEN 0 THEN 'jwt_verification_disabled' WHEN 1 THEN 'jwt_no_algorithms' WHEN 3 THEN 'yaml_unsafe_load' ELSE 'sql_injection' END AS rule_id,
-      CAST(6 + k % 4 AS INT) AS first_line FROM src WHERE NOT is_test AND k % 6 IN (0, 1, 3, 4)""",
+      CAST(6 + k % 6 AS INT) AS first_line FROM src WHERE NOT is_test AND k % 6 IN (0, 1, 3, 4)""",
 )
 def insecure_calls(spark, sf_dir):
     # The module starts with two import lines and two blank ones: the loop is on line 6.
@@ -72,7 +72,7 @@ def insecure_calls(spark, sf_dir):
 
 @query(
     "metric_findings",
-    f"WITH {SOURCE_SQL} SELECT repo_id, path, 'code_quality.high_complexity' AS rule_id FROM src WHERE NOT is_test AND 2 + 2 * (k % 4) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END > 10",
+    f"WITH {SOURCE_SQL} SELECT repo_id, path, 'code_quality.high_complexity' AS rule_id FROM src WHERE NOT is_test AND 2 + 2 * (k % 6) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END > 10 UNION ALL SELECT repo_id, path, 'code_quality.deep_nesting' FROM src WHERE NOT is_test AND k % 6 > 3",
 )
 def metric_findings(spark, sf_dir):
     return code_rules.metric_findings(facts_of(spark, sf_dir)).select("repo_id", "path", "rule_id")
@@ -143,7 +143,7 @@ def enclosing_functions(spark, sf_dir):
 
 @query(
     "most_complex_functions",
-    f"""WITH {SOURCE_SQL}, r AS (SELECT repo_id, path, CAST(2 + 2 * (k % 4) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS INT) AS complexity FROM src)
+    f"""WITH {SOURCE_SQL}, r AS (SELECT repo_id, path, CAST(2 + 2 * (k % 6) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS INT) AS complexity FROM src)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, path) AS position FROM r) WHERE position <= 10""",
 )
 def most_complex_functions(spark, sf_dir):

@@ -41,7 +41,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     if active.isDefined():
         return active.get()
-    return tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
