@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from riskframe.llm import q_sharding  # noqa: F401
+from riskframe.llm import q_neardup, q_sharding  # noqa: F401
 from riskframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
