@@ -36,14 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_table(separator: bytes, lower: bool = True) -> np.ndarray:
-    """Per byte value: 0 for separators, else the byte, A-Z in lower case if wanted. NUL can't be told from a separator
-    by its value, so it is coded as 1 where it is part of words."""
-    table = np.arange(256, dtype=np.uint8)
-    table[0] = 1
+def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
+    """Per byte value: 0 for separators, else the byte (A-Z in lower case if wanted) plus 1."""
+    table = np.arange(1, 257, dtype=np.uint16)
     if lower:
         table[65:91] += 32
-    table[list(separator)] = 0
+    table[list(separators)] = 0
     return table
 
 
@@ -87,11 +85,23 @@ class Words:
     hash: np.ndarray
     bounds: np.ndarray
 
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text's words of one value a word."""
+        return sums_between(values, self.bounds)
+
     @property
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
+def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values[bounds[i]:bounds[i + 1]]; empty ranges give 0."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    total = np.zeros(len(values) + 1, kind)
+    np.cumsum(values, dtype=kind, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def span_hashes(coded: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of consecutive spans, of the given lengths (1 at least), that fill ``coded``."""
     if not len(lengths):
