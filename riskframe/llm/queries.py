@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from riskframe.llm import q_decontam, q_licenses, q_neardup, q_quality, q_sharding  # noqa: F401
+from riskframe.llm import q_decontam, q_licenses, q_linededup, q_neardup, q_quality, q_sharding  # noqa: F401
 from riskframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
