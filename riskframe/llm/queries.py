@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from riskframe.llm import q_decontam, q_langid, q_licenses, q_linededup, q_neardup, q_quality, q_sharding, q_warc  # noqa: F401
+from riskframe.llm import q_decontam, q_langid, q_licenses, q_linededup, q_neardup, q_pieces, q_quality, q_sharding, q_warc  # noqa: F401
 from riskframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
