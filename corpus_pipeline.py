@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import read_table, small_side, text_hash, written
-from riskframe.llm.decontam import contaminated_pairs
+from riskframe.llm.common import read_table, written
+from riskframe.llm.decontam import without_contaminated
 from riskframe.llm.keepone import one_of_each_group
 from riskframe.llm.langid import without_rejected
 from riskframe.llm.linededup import without_repeats
@@ -42,10 +42,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = written(found.select(F.col("doc_id").alias("_gone_id"), F.col("_th").alias("_gone_th")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_hash("text") == F.col("_gone_th"))
-    return docs.join(small_side(gone), same, "left_anti")
+    return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

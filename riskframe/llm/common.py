@@ -19,15 +19,6 @@ def text_hash(text: Column | str) -> Column:
     return F.xxhash64(text)
 
 
-def same_row(left: DataFrame, right: DataFrame, *keys: str) -> Column:
-    """Equal keys, null equal to null."""
-    both = [left[k].eqNullSafe(right[k]) for k in keys]
-    found = both[0]
-    for one in both[1:]:
-        found = found & one
-    return found
-
-
 def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The (written) table of narrow rows, marked for broadcast if it is counted to have ``limit`` rows at most."""
     return F.broadcast(table) if table.count() <= limit else table
@@ -36,3 +27,19 @@ def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, so that a lost executor costs no replay and no row is computed twice."""
     return stage(df)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def rows_by_key(docs: DataFrame, keys: DataFrame, how: str, id_column: str, text_column: str) -> DataFrame:
+    """Semi- or anti-join of documents, all columns kept, with ``keys(doc_id, _th)``: ids and hashes of texts, null equal to null."""
+    id_name, hash_name = unused(docs, "_key_id"), unused(docs, "_key_th")
+    side = written(keys.select(F.col("doc_id").alias(id_name), F.col("_th").alias(hash_name)).distinct())
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(id_name)) & (text_hash(text_column) == F.col(hash_name))
+    return docs.join(small_side(side), same, how)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import small_side, text_hash, written
+from riskframe.llm.common import rows_by_key, small_side, text_hash, written
 from riskframe.llm.textvec import MARKS, blocks, byte_table, find_words, mix
 
 WINDOW = 8
@@ -238,3 +238,8 @@ def contaminated_pairs(
             (-F.col("_b.col3")).cast("long").alias("first_token"), F.col("_b.exact").alias("exact"),
         )
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, all columns kept, that hold no benchmark item."""
+    return rows_by_key(docs, contaminated_pairs(docs, items, id_column, text_column), "left_anti", id_column, text_column)

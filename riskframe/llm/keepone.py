@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import small_side, text_hash, written
+from riskframe.llm.common import rows_by_key, text_hash, written
 from riskframe.llm.neardup import SIMILARITY_PERCENT, near_duplicates
 
 
@@ -15,15 +15,12 @@ def one_of_each_group(
     """The documents, all columns kept, one of each group of near duplicates: that of the smallest id, then of the smallest
     text hash. Documents without words are no group and all stay. Of rows equal in id and text one stays."""
     found = written(near_duplicates(docs, width, percent, id_column, text_column))
-    keys = [F.col("doc_id").alias("_key_id"), F.col("_th").alias("_key_th")]
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_key_id")) & (text_hash(text_column) == F.col("_key_th"))
-    gone = written(found.where(~F.col("keeper")).select(*keys).distinct())
-    left = docs.join(small_side(gone), same, "left_anti")
-    twice = written(found.where("keeper").groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys))
+    left = rows_by_key(docs, found.where(~F.col("keeper")), "left_anti", id_column, text_column)
+    twice = written(found.where("keeper").groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     if twice.isEmpty():
         return left
-    again = left.join(small_side(twice), same, "left_semi")
-    first = again.groupBy(F.col(id_column).alias("_key_id"), text_hash(text_column).alias("_key_th")).agg(
+    again = rows_by_key(left, twice, "left_semi", id_column, text_column)
+    first = again.groupBy(F.col(id_column).alias("_id"), text_hash(text_column).alias("_hash")).agg(
         F.first(F.struct(*[again[c] for c in again.columns])).alias("_row")
     )
-    return left.join(small_side(twice), same, "left_anti").unionByName(first.select("_row.*"))
+    return rows_by_key(left, twice, "left_anti", id_column, text_column).unionByName(first.select("_row.*"))

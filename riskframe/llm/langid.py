@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import small_side, text_hash, written
+from riskframe.llm.common import rows_by_key, text_hash, written
 from riskframe.llm.textvec import blocks
 
 ORDER = 4
@@ -277,11 +277,5 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 def without_rejected(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The documents whose language is not rejected, all columns kept."""
-    gone = (
-        identify_languages(docs, id_column, text_column, lang_column)
-        .where("rejected")
-        .select(F.col("doc_id").alias("_gone_id"), F.col("_th").alias("_gone_th"))
-        .distinct()
-    )
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_gone_id")) & (text_hash(text_column) == F.col("_gone_th"))
-    return docs.join(small_side(written(gone)), same, "left_anti")
+    found = identify_languages(docs, id_column, text_column, lang_column)
+    return rows_by_key(docs, found.where("rejected"), "left_anti", id_column, text_column)

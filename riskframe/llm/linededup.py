@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import small_side, text_hash, written
+from riskframe.llm.common import small_side, text_hash, unused, written
 from riskframe.llm.textvec import MARKS, blocks, byte_table, find_words, mix
 
 MIN_WORDS = 6
@@ -116,11 +116,11 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
     )
 
 
-def _cut(text_column: str):
+def _cut(text_column: str, cuts_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [x for x in batch.schema.names if x != "_cuts"]
-            cuts = batch.column("_cuts")
+            names = [x for x in batch.schema.names if x != cuts_name]
+            cuts = batch.column(cuts_name)
             texts = batch.column(text_column)
             if cuts.null_count < len(cuts):
                 changed = texts.to_pylist()
@@ -139,13 +139,13 @@ def _cut(text_column: str):
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, all columns kept, with the repeated units cut from their texts. A text of repeats only becomes empty."""
+    id_name, hash_name, cuts_name = (unused(docs, x) for x in ("_cut_id", "_cut_th", "_cuts"))
     cuts = (
         repeated_units(docs, min_words, id_column, text_column)
         .groupBy("doc_id", "_th")
-        .agg(F.collect_set(F.struct("start", "end")).alias("_cuts"))
-        .select(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th"), "_cuts")
+        .agg(F.collect_set(F.struct("start", "end")).alias(cuts_name))
+        .select(F.col("doc_id").alias(id_name), F.col("_th").alias(hash_name), cuts_name)
     )
-    marked = docs.join(
-        cuts, F.col(id_column).cast("long").eqNullSafe(F.col("_cut_id")) & (text_hash(text_column) == F.col("_cut_th")), "left"
-    ).select(*[docs[c] for c in docs.columns], "_cuts")
-    return marked.mapInArrow(_cut(text_column), docs.schema)
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(id_name)) & (text_hash(text_column) == F.col(hash_name))
+    marked = docs.join(cuts, same, "left").drop(id_name, hash_name)
+    return marked.mapInArrow(_cut(text_column, cuts_name), docs.schema)
