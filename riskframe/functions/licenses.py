@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from riskframe import constants as C
 from riskframe.functions.lookup import lookup
 
-HEAD_CHARS = 6000
-
 
 def with_license_of_text(df: DataFrame, text: str = "text", out: str = "license_id") -> DataFrame:
-    """Add the license whose fingerprint comes first among those found in the head of the text."""
-    head = F.col("_license_head")
+    """Add the license whose fingerprint comes first among those found in the whole text."""
+    head = F.col("_license_text")
     expr = None
     for spdx, needles in C.LICENSE_FINGERPRINTS:
         found = F.lit(True)
@@ -21,9 +19,9 @@ def with_license_of_text(df: DataFrame, text: str = "text", out: str = "license_
             found = found & F.contains(head, F.lit(needle))
         expr = F.when(found, F.lit(spdx)) if expr is None else expr.when(found, F.lit(spdx))
     return (
-        df.withColumn("_license_head", F.lower(F.left(F.col(text), F.lit(HEAD_CHARS))))
+        df.withColumn("_license_text", F.lower(F.col(text)))
         .withColumn(out, expr)
-        .drop("_license_head")
+        .drop("_license_text")
     )
 
 
@@ -33,7 +31,7 @@ def spdx_header(line: Column) -> Column:
 
 
 def _alias_map() -> Column:
-    pairs = [F.lit(x) for spdx, names in C.LICENSE_ALIASES.items() for name in names for x in (name, spdx)]
+    pairs = [F.lit(x) for pair in C.LICENSE_OF_ALIAS.items() for x in pair]
     return F.create_map(*pairs)
 
 

@@ -27,8 +27,7 @@ def suffix(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    table = {ext: name for name, exts in C.LANGUAGE_SUFFIXES.items() for ext in exts.split()}
-    return lookup(suffix(path), table)
+    return lookup(suffix(path), C.LANGUAGE_OF_SUFFIX)
 
 
 def components(path: Column) -> Column:

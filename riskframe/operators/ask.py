@@ -14,14 +14,14 @@ from riskframe.functions.text import terms
 DEFAULT_TOPIC = "orchestrator"
 
 
-def topic_hits(question: Column, topics: Mapping[str, str] = C.TOPIC_KEYWORDS) -> Column:
+def topic_hits(question: Column, topics: Mapping[str, tuple[str, ...]] = C.TOPIC_KEYWORDS) -> Column:
     """Array of ``topic, position, hits`` for topics with at least one keyword in the question."""
     lower = F.lower(question)
     counted = [
         F.struct(
             F.lit(name).alias("topic"),
             F.lit(position).alias("position"),
-            sum((F.contains(lower, F.lit(k)).cast("int") for k in keywords.split("|")), F.lit(0)).alias("hits"),
+            sum((F.contains(lower, F.lit(k)).cast("int") for k in keywords), F.lit(0)).alias("hits"),
         )
         for position, (name, keywords) in enumerate(topics.items())
     ]
@@ -29,7 +29,7 @@ def topic_hits(question: Column, topics: Mapping[str, str] = C.TOPIC_KEYWORDS) -
 
 
 def route_questions(
-    questions: DataFrame, topics: Mapping[str, str] = C.TOPIC_KEYWORDS, findings: DataFrame | None = None
+    questions: DataFrame, topics: Mapping[str, tuple[str, ...]] = C.TOPIC_KEYWORDS, findings: DataFrame | None = None
 ) -> DataFrame:
     """The topic of each question: most keyword hits, ties by topic order; a mentioned file adds a hit for its owner.
 

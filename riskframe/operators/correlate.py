@@ -336,12 +336,17 @@ def candidate_members(findings: DataFrame) -> DataFrame:
     return out
 
 
+def members_key() -> Column:
+    """A key of a set of members, whatever their order: the sum of their ids' hashes."""
+    return F.sum(F.xxhash64("finding_id").cast("decimal(38,0)"))
+
+
 def assess(members: DataFrame) -> DataFrame:
     """One row per candidate; confidence = geometric mean of the members' confidences times the link strength."""
     mean = F.exp(F.avg(F.ln(F.greatest(F.lit(0.01), F.col("confidence")))))
     return (
         members.groupBy(*KEY, "relationship_type", "risk_multiplier", "link_strength")
-        .agg(mean.alias("_mean"), F.count("*").alias("n_members"), F.size(F.collect_set("agent")).alias("n_agents"))
+        .agg(mean.alias("_mean"), F.count("*").alias("n_members"), F.size(F.collect_set("agent")).alias("n_agents"), members_key().alias("members_key"))
         .withColumn(
             "confidence",
             stable_round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("_mean") * F.col("link_strength"))), 3),
@@ -354,19 +359,21 @@ def assess(members: DataFrame) -> DataFrame:
 def upsert_correlations(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace current ones of the same signature.
 
-    A ruling (verified or rejected) stands while the members stay the same; a changed relationship is proposed again.
+    A ruling (verified or rejected) stands while the members stay the same (by their ids, not their number); a changed
+    relationship is proposed again.
     """
-    old = current.select(*KEY, F.col("status").alias("_old_status"), F.col("n_members").alias("_old_n"))
+    old = current.select(*KEY, F.col("status").alias("_old_status"), F.col("n_members").alias("_old_n"), F.col("members_key").alias("_old_key"))
+    changed = (F.col("_old_n") != F.col("n_members")) | (F.col("_old_key") != F.col("members_key"))
     merged = incoming.join(old, KEY, "left").withColumn(
         "status",
         F.when(F.col("_old_status").isNull(), F.col("status"))
         .when(
-            F.col("_old_status").isin("verified", "rejected") & (F.col("_old_n") != F.col("n_members")), F.lit("proposed")
+            F.col("_old_status").isin("verified", "rejected") & changed, F.lit("proposed")
         )
         .otherwise(F.col("_old_status")),
     )
     kept = current.join(incoming.select(*KEY), KEY, "left_anti")
-    return merged.drop("_old_status", "_old_n").unionByName(kept)
+    return merged.drop("_old_status", "_old_n", "_old_key").unionByName(kept)
 
 
 def member_updates(members: DataFrame) -> DataFrame:

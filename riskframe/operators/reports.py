@@ -8,13 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECTIONS = ("case", "agents", "findings", "correlations", "verifications", "risks", "recommendations", "events")
 
 
+def order_key(df: DataFrame, order: list[Column]) -> Column:
+    """A string that sorts as the columns do: numbers, instants and flags by value (negate one to turn it round), nulls
+    first. Numbers count to ten decimals and below 1e20."""
+    kinds = df.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).schema.fields
+    parts = []
+    for column, field in zip(order, kinds, strict=True):
+        if not isinstance(field.dataType, T.StringType):
+            number = F.unix_micros(column) if isinstance(field.dataType, T.TimestampType) else column
+            shifted = number.cast("decimal(31,10)") + F.lit("100000000000000000000").cast("decimal(31,10)")
+            column = F.lpad(shifted.cast("string"), 34, "0")
+        parts.append(F.coalesce(F.concat(F.lit("+"), column), F.lit("")))
+    return F.concat_ws("\u0001", *parts) if parts else F.lit("")
+
+
 def _rows(df: DataFrame, section: str, order: list[Column], payload: list[str] | None = None) -> DataFrame:
     columns = payload or [c for c in df.columns if c != "repo_id"]
-    position = F.xxhash64(*order) if not order else F.struct(*order).cast("string")
+    position = order_key(df, order)
     return df.select(
         "repo_id",
         F.lit(SECTIONS.index(section)).alias("section_no"),

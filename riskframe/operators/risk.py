@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe import constants as C
 from riskframe.functions.lookup import lookup, severity_rank, stable_round
+from riskframe.operators.correlate import duplicate_links
 
 MULTIPLYING = ("causal", "dependency")
 
@@ -84,19 +85,17 @@ def with_score(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicates_of_verified(correlations: DataFrame, members: DataFrame) -> DataFrame:
-    """Findings a verified duplicate link sets aside: every member but the lead."""
-    verified = correlations.where((F.col("status") == "verified") & (F.col("relationship_type") == "duplicate"))
-    return (
-        members.where(~F.col("is_lead"))
-        .join(verified.select("repo_id", "signature"), ["repo_id", "signature"], "left_semi")
-        .select("repo_id", "finding_id")
-        .distinct()
-    )
+def duplicates_of_verified(findings: DataFrame) -> DataFrame:
+    """Verified findings that repeat an earlier verified one of another agent.
+
+    They are looked for among the verified findings, not among the links proposed before verification: the earliest
+    report of a place may have been refused since, and two later ones verified.
+    """
+    return duplicate_links(findings.where(F.col("status") == "verified")).select("repo_id", "finding_id").distinct()
 
 
 def finding_risks(findings: DataFrame, correlations: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
-    """One risk per verified, non-info finding that no verified duplicate link sets aside.
+    """One risk per verified, non-info finding that doesn't repeat an earlier verified one.
 
     Only causal and dependency links multiply a single finding; compound risks get their own row.
     """
@@ -118,15 +117,15 @@ def finding_risks(findings: DataFrame, correlations: DataFrame | None = None, me
             F.min_by("signature", F.struct(-F.col("risk_multiplier"), F.col("signature"))).alias("via"),
         )
     )
-    kept = scored.join(duplicates_of_verified(correlations, members), ["repo_id", "finding_id"], "left_anti")
+    kept = scored.join(duplicates_of_verified(findings), ["repo_id", "finding_id"], "left_anti")
     return with_score(
         kept.join(best, ["repo_id", "finding_id"], "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
     )
 
 
-def excluded_findings(findings: DataFrame, correlations: DataFrame, members: DataFrame) -> DataFrame:
+def excluded_findings(findings: DataFrame) -> DataFrame:
     """Findings that get no risk, with the reason."""
-    duplicate = duplicates_of_verified(correlations, members).withColumn("_duplicate", F.lit(True))
+    duplicate = duplicates_of_verified(findings).withColumn("_duplicate", F.lit(True))
     reason = (
         F.when(F.col("status") == "rejected", F.lit("rejected by verification"))
         .when(F.col("status") != "verified", F.lit("insufficient evidence (not verified)"))

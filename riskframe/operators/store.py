@@ -64,7 +64,7 @@ def timeline(
     extra: Column | None = None,
 ) -> DataFrame:
     """The trace filtered by event group, agent on either end and text; ``last`` keeps the newest rows per case."""
-    groups = groups or {name: tuple(types.split()) for name, types in C.EVENT_GROUPS.items()}
+    groups = groups or C.EVENT_GROUPS
     df = events
     if group is not None:
         df = df.where(F.col("event_type").isin(*groups[group]))

@@ -32,7 +32,7 @@ DUPLICATE_LINES = 6
 
 
 def search_lines(files: DataFrame, pattern: str, suffixes: Sequence[str] = (), skip_tests: bool = False) -> DataFrame:
-    """Lines a pattern matches (within their first 2000 characters), shown up to 400 characters."""
+    """Lines a pattern matches, each tried on its own and whole."""
     df = files
     if suffixes:
         df = df.where(F.coalesce(paths.suffix(F.col("path")).isin(*suffixes), F.lit(False)))
@@ -40,13 +40,11 @@ def search_lines(files: DataFrame, pattern: str, suffixes: Sequence[str] = (), s
         df = df.where(~paths.is_test_path(F.col("path")))
     hits = F.filter(
         F.transform(
-            split_lines(F.col("text")), lambda text, i: F.struct((i + 1).alias("line"), F.left(text, F.lit(2000)).alias("t"))
+            split_lines(F.col("text")), lambda text, i: F.struct((i + 1).alias("line"), text.alias("t"))
         ),
         lambda x: F.rlike(x["t"], F.lit(pattern)),
     )
-    return df.where(F.rlike("text", F.lit(pattern))).select("repo_id", "path", F.inline(hits)).select(
-        "repo_id", "path", "line", F.left(strip(F.col("t")), F.lit(400)).alias("excerpt")
-    )
+    return df.select("repo_id", "path", F.inline(hits)).select("repo_id", "path", "line", strip(F.col("t")).alias("excerpt"))
 
 
 def script_sinks(files: DataFrame, suffixes: Sequence[str] = ("js", "ts", "jsx", "tsx")) -> DataFrame:
@@ -123,12 +121,11 @@ def hits_per_file(hits: DataFrame, lines_kept: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------------- machine-directed text
 def injection_signals(
-    files: DataFrame, patterns: Sequence[tuple[str, str]] = C.INJECTION_PATTERNS, max_signals: int = C.MAX_SIGNALS
+    files: DataFrame, patterns: Sequence[tuple[str, str]] = C.INJECTION_PATTERNS
 ) -> DataFrame:
     """Lines that address machines, alone or together with the next line.
 
-    A match on the line after a reported line is the same passage and is not reported again. A file stops reporting
-    after the line on which it reached ``max_signals``.
+    A match on the line after a reported line is the same passage and is not reported again.
     """
     lines = F.col("_lines")
     pairs = F.transform(
@@ -155,7 +152,7 @@ def injection_signals(
         return F.transform(
             F.coalesce(F.filter(candidates, hits), F.array().cast(kind)),
             lambda x: F.struct(
-                F.lit(name).alias("pattern"), x["line"].alias("line"), F.left(strip(x["t"]), F.lit(240)).alias("excerpt")
+                F.lit(name).alias("pattern"), x["line"].alias("line"), strip(x["t"]).alias("excerpt")
             ),
         )
 
@@ -171,12 +168,7 @@ def injection_signals(
     runs = hits.withColumn("_run", F.col("line") - F.row_number().over(by_pattern))
     in_run = Window.partitionBy("repo_id", "path", "pattern", "_run").orderBy("line")
     kept = runs.withColumn("_nth", F.row_number().over(in_run)).where(F.col("_nth") % 2 == 1)
-    earlier = Window.partitionBy("repo_id", "path").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
-    return (
-        kept.withColumn("_before", F.count("*").over(earlier))
-        .where(F.col("_before") < max_signals)
-        .select("repo_id", "path", "pattern", "line", "excerpt")
-    )
+    return kept.select("repo_id", "path", "pattern", "line", "excerpt")
 
 
 def injection_findings(signals: DataFrame) -> DataFrame:

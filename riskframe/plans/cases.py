@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.lookup import literal_table
@@ -260,15 +261,15 @@ def delivery_log(spark, sf_dir):
 # ---------------------------------------------------------------------------------------- questions
 # The driver's conversations are invented prose: our own keywords, in the same form as the default table.
 TOPICS = {
-    "security_agent": "the|der|erla",
-    "dependency_agent": "que|con|del",
-    "license_agent": "ion|und|est",
-    "performance_agent": "ent|sch",
+    "security_agent": ("the", "der", "erla",),
+    "dependency_agent": ("que", "con", "del",),
+    "license_agent": ("ion", "und", "est",),
+    "performance_agent": ("ent", "sch",),
 }
 
 
 def _hits(keywords: str) -> str:
-    return " + ".join(f"CAST(contains(q, '{k}') AS INT)" for k in keywords.split("|"))
+    return " + ".join(f"CAST(contains(q, '{k}') AS INT)" for k in keywords)
 
 
 @query(
@@ -412,3 +413,18 @@ def agent_retries(spark, sf_dir):
     error = F.when(F.col("run_id") % 3 == 0, "ToolUnavailableError").when(F.col("run_id") % 3 == 1, "Timeout").otherwise("ValueError")
     failed = all_runs(spark, sf_dir).where("status = 'failed'").withColumns({"error_type": error, "retryable": F.lit(True)})
     return orchestrate.retries(failed, 2, ("ValueError",)).select("run_id", "retry", "next_strategy")
+
+
+@query(
+    "report_order",
+    """SELECT repo_id, finding_id, row_number() OVER (PARTITION BY repo_id ORDER BY -complexity NULLS FIRST, finding_id) AS place FROM findings""",
+    uses=("findings",),
+)
+def report_order(spark, sf_dir):
+    """Findings of a report by falling complexity, then by number."""
+    findings = adapt(spark, sf_dir, "findings").select("repo_id", "finding_id", "complexity")
+    report = reports.case_report({"findings": (findings, [-F.col("complexity"), F.col("finding_id")])})
+    placed = F.row_number().over(Window.partitionBy("repo_id").orderBy("order_key"))
+    return report.select(
+        "repo_id", F.get_json_object("item", "$.finding_id").cast("bigint").alias("finding_id"), placed.cast("bigint").alias("place")
+    )

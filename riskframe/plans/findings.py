@@ -296,8 +296,9 @@ SCORE_SQL = "round(100 * (1 - exp(-2.2e0 * {w} * {c} * {i} * {e} * {m})) + 1e-10
     "WITH "
     + RISK_SQL
     + RULING_SQL[len(CONFIDENCE_SQL) :]
-    + """, dropped AS (SELECT DISTINCT l.repo_id, l.finding_id FROM links l JOIN ruled r ON r.repo_id = l.repo_id AND r.signature = l.signature
-      WHERE r.kind = 'duplicate' AND ruling = 'verified' AND NOT is_lead),
+    + """, dropped AS (SELECT DISTINCT b.repo_id, b.finding_id FROM c8_spots b
+      JOIN c8_spots a ON a.repo_id = b.repo_id AND a.category = b.category AND a.fpath = b.fpath AND a.line = b.line AND a.agent <> b.agent AND a.born < b.born
+      JOIN scored sa ON sa.finding_id = a.finding_id JOIN scored sb ON sb.finding_id = b.finding_id WHERE sa.status = 'verified' AND sb.status = 'verified'),
     best AS (SELECT l.repo_id, l.finding_id, max(round(r.mult + 1e-10, 2)) AS multiplier, arg_min(l.signature, (-r.mult, l.signature)) AS via
       FROM links l JOIN ruled r ON r.repo_id = l.repo_id AND r.signature = l.signature WHERE r.kind IN ('causal', 'dependency') AND ruling = 'verified' GROUP BY ALL)
     SELECT f.repo_id, f.finding_id, coalesce(multiplier, 1e0) AS multiplier, via, """
@@ -341,14 +342,28 @@ def compound_risk(spark, sf_dir):
 
 @query(
     "excluded_findings",
-    f"""WITH {RULING_SQL}, dropped AS (SELECT DISTINCT l.finding_id FROM links l JOIN ruled r ON r.repo_id = l.repo_id AND r.signature = l.signature
-      WHERE r.kind = 'duplicate' AND ruling = 'verified' AND NOT is_lead)
+    f"""WITH {RULING_SQL}, dropped AS (SELECT DISTINCT b.repo_id, b.finding_id FROM c8_spots b
+      JOIN c8_spots a ON a.repo_id = b.repo_id AND a.category = b.category AND a.fpath = b.fpath AND a.line = b.line AND a.agent <> b.agent AND a.born < b.born
+      JOIN scored sa ON sa.finding_id = a.finding_id JOIN scored sb ON sb.finding_id = b.finding_id WHERE sa.status = 'verified' AND sb.status = 'verified')
     SELECT repo_id, finding_id, status, CASE WHEN status = 'rejected' THEN 'rejected by verification' WHEN status <> 'verified' THEN 'insufficient evidence (not verified)'
       ELSE 'duplicate of another verified finding' END AS reason
     FROM scored WHERE severity <> 'info' AND (status <> 'verified' OR finding_id IN (SELECT finding_id FROM dropped))""",
     uses=("findings", "evidence"),
 )
 def excluded_findings(spark, sf_dir):
-    findings, members = correlated(spark, sf_dir)
-    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
-    return risk.excluded_findings(findings, ruled, members)
+    findings, _members = correlated(spark, sf_dir)
+    return risk.excluded_findings(findings)
+
+
+@query(
+    "correlation_upsert",
+    f"WITH {RULING_SQL} SELECT repo_id, signature, CASE WHEN kind = 'compound_risk' THEN 'proposed' ELSE 'verified' END AS status FROM headers",
+    uses=("findings", "evidence"),
+)
+def correlation_upsert(spark, sf_dir):
+    """All relationships were verified; then the lead of each compound risk is exchanged for another finding."""
+    _findings, members = correlated(spark, sf_dir)
+    exchanged = F.when(F.col("is_lead") & (F.col("relationship_type") == "compound_risk"), F.col("finding_id") + 1_000_000_000)
+    current = correlate.assess(members).withColumn("status", F.lit("verified"))
+    incoming = correlate.assess(members.withColumn("finding_id", F.coalesce(exchanged, F.col("finding_id"))))
+    return correlate.upsert_correlations(current, incoming).select("repo_id", "signature", "status")

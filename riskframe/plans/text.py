@@ -106,9 +106,7 @@ def _signals_sql() -> str:
         (SELECT *, lead(line_text) OVER (PARTITION BY path ORDER BY line) AS nxt FROM lined)),
       m AS ({matched}),
       r AS (SELECT *, line - row_number() OVER (PARTITION BY path, pattern ORDER BY line) AS run FROM m),
-      k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, pattern, run ORDER BY line) AS nth FROM r) WHERE nth % 2 = 1),
-      b AS (SELECT *, count(*) OVER (PARTITION BY path ORDER BY line RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
-      signals AS (SELECT repo_id, path, pattern, line FROM b WHERE before < 20)"""
+      signals AS (SELECT repo_id, path, pattern, line FROM (SELECT *, row_number() OVER (PARTITION BY path, pattern, run ORDER BY line) AS nth FROM r) WHERE nth % 2 = 1)"""
 
 
 @query("injection_signals", f"WITH {_signals_sql()} SELECT repo_id, path, pattern, line FROM signals", uses=("files",))
@@ -132,7 +130,7 @@ def _license_sql(column: str) -> str:
         "WHEN " + " AND ".join(f"contains(head, '{n}')" for n in needles) + f" THEN '{spdx}'"
         for spdx, needles in C.LICENSE_FINGERPRINTS
     )
-    return f"(SELECT *, CASE {branches} END AS license_id FROM (SELECT *, lower(left({column}, 6000)) AS head FROM files))"
+    return f"(SELECT *, CASE {branches} END AS license_id FROM (SELECT *, lower({column}) AS head FROM files))"
 
 
 CLASS_SQL = "CASE WHEN {c} IN ('MIT','Apache-2.0','BSD','BSD-3-Clause','BSD-2-Clause','ISC','Unlicense','PSF-2.0') THEN 'permissive' WHEN {c} IN ('MPL-2.0','LGPL-2.1','LGPL-3.0') THEN 'weak_copyleft' WHEN {c} IN ('GPL-2.0','GPL-3.0') THEN 'strong_copyleft' WHEN {c} = 'AGPL-3.0' THEN 'network_copyleft' ELSE 'unknown' END"
@@ -203,7 +201,7 @@ def line_hash_integrity(spark, sf_dir):
 
 @query(
     "pattern_search",
-    rf"""WITH {LINES_SQL} SELECT repo_id, path, line, left(trim(left(line_text, 2000)), 400) AS excerpt FROM lined WHERE regexp_matches(left(line_text, 2000), '\+1 \(\d+\) 555')""",
+    rf"""WITH {LINES_SQL} SELECT repo_id, path, line, trim(line_text) AS excerpt FROM lined WHERE regexp_matches(line_text, '\+1 \(\d+\) 555')""",
     uses=("files",),
 )
 def pattern_search(spark, sf_dir):
