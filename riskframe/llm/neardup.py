@@ -9,8 +9,8 @@ Documents of equal sets are one class. Classes that share a key are candidates;
 
 1. In each bucket every member is compared with the bucket's first member: first the pair with the first of all these
    leads, then those pairs that are not connected yet. This is linear in the bucket's size.
-2. Buckets that then hold members of several components are looked at again with longer keys (two half keys of the first
-   collection, one of the second), and their members of different components are compared with each other.
+2. Members of buckets that then still hold several components are compared across components, block by block within
+   tasks that return links only. Such buckets arise where sets are nearly similar enough, so they are few.
 
 No pair within a component is looked at twice, so a large group of near copies costs about a pair for each copy.
 """
@@ -32,6 +32,7 @@ from riskframe.operators.graph import connected_groups
 HALVES = 12
 ROWS = 3
 SIMILARITY_PERCENT = 80
+BLOCK = 512
 
 _TABLE = byte_table(BLANK)
 _GEN = np.random.Generator(np.random.PCG64(20240607))
@@ -231,8 +232,7 @@ def near_duplicates(
     if not links.isEmpty():
         labels = _grown(labels, links)
 
-    more = _confirmed(_across(members, classes, labels, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent)
-    links = written(more)
+    links = written(_across(members, classes, labels, sets, percent))
     if not links.isEmpty():
         labels = _grown(labels, links)
 
@@ -254,29 +254,87 @@ def near_duplicates(
     )
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket, by keys of three half keys, for members of buckets that are not
-    connected yet."""
+def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components that meet in a bucket of three members or more (pairs with the first member are
+    known). Members of such buckets are grouped by the half keys of the first collection, which any two of one bucket have
+    in common; a group is cut into blocks of ``BLOCK`` members, and two blocks at a time are compared within a task, which
+    returns links only."""
     marked = members.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").select(
         "key", "a", F.coalesce("component", "a").alias("_c")
     )
-    mixed = marked.groupBy("key").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where("_low <> _high")
+    mixed = (
+        marked.groupBy("key")
+        .agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.count(F.lit(1)).alias("_n"))
+        .where("_low <> _high and _n > 2")
+    )
     open_ = written(
         marked.join(mixed.select("key"), "key", "left_semi")
         .select(F.col("a").alias("node"), "_c")
         .distinct()
-        .join(classes.select("node", "n", "first", "second"), "node")
+        .join(classes.select("node", "first"), "node")
+        .select("node", "_c", F.explode("first").alias("half"))
+    )
+    groups = written(
+        open_.groupBy("half")
+        .agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"), F.count(F.lit(1)).alias("_n"))
+        .where("_low <> _high")
+        .select("half", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
     )
-    twos = [(i, j) for i in range(HALVES) for j in range(i + 1, HALVES)]
-    two_of_first = F.array(*[F.xxhash64(F.col("first")[i], F.col("first")[j]) for i, j in twos])
-    longer = (
-        open_.select("node", "n", "_c", F.explode(two_of_first).alias("_a"), "second")
-        .select("node", "n", "_c", "_a", F.explode("second").alias("_b"))
-        .select("node", "n", "_c", F.xxhash64("_a", "_b").alias("key"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        open_.join(small_side(groups), "half")
+        .select("half", "node", "_c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("half", "node", "_c", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    spread = longer.groupBy("key").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where("_low <> _high")
-    held = written(longer.join(spread.select("key"), "key", "left_semi"))
-    x = held.select("key", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("_c").alias("_ca"))
-    y = held.select("key", F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("_c").alias("_cb"))
-    met = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("_ca") != F.col("_cb")) & _near_sizes("_na", "_nb", percent))
-    return met.select("a", "b").distinct()
+    return dealt.join(sets, "node").groupBy("half", "low", "high").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, own = (table.column(x).to_numpy() for x in ("node", "_c", "own"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        names, comp_at = np.unique(comp, return_inverse=True)
+        links: list[tuple[int, int]] = []
+        if len(names) > 1:
+            lists = table.column("shingles").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            _, token, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            shared = seen > 1
+            column = (np.cumsum(shared) - 1)[token]
+            row = np.repeat(np.arange(len(node)), sizes)
+            kept = shared[token]
+            row, column = row[kept], column[kept]
+            top = np.bincount(comp_at).argmax()
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            for x, y in ((left[comp_at[left] != top], right), (left[comp_at[left] == top], right[comp_at[right] != top])):
+                if not len(x) or not len(y):
+                    continue
+                common = _common(row, column, x, y, len(node))
+                union = sizes[x][:, None] + sizes[y][None, :] - common
+                near = (100 * common >= percent * union) & (comp_at[x][:, None] != comp_at[y][None, :])
+                at = np.argwhere(near)
+                # One link to each other component is enough: components are connected in themselves.
+                _, first = np.unique(at[:, 0] * len(names) + comp_at[y][at[:, 1]], return_index=True)
+                links += [(int(node[x[i]]), int(node[y[j]])) for i, j in at[first]]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _common(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y."""
+    total = np.zeros((len(x), len(y)), np.int64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place_x, place_y = np.full(rows, -1), np.full(rows, -1)
+    place_x[x], place_y[y] = np.arange(len(x)), np.arange(len(y))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        r, c = row[lo:hi], column[lo:hi] - at
+        held = []
+        for place, n in ((place_x, len(x)), (place_y, len(y))):
+            own = place[r] >= 0
+            held.append(np.zeros((n, width), np.float32))
+            held[-1][place[r[own]], c[own]] = 1
+        total += (held[0] @ held[1].T).astype(np.int64)
+    return total
