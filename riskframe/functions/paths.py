@@ -44,12 +44,12 @@ def components(path: Column) -> Column:
     return F.when(F.size(named) > 0, named).otherwise(F.array(parent))
 
 
-def is_scannable(path: Column, size: Column, max_bytes: int) -> Column:
-    """Text files of the repository itself: no vendored folder, no binary suffix, within the size limit."""
+def is_scannable(path: Column, size: Column, max_bytes: int | None = None) -> Column:
+    """Text files of the repository itself: no vendored folder, no binary suffix, within a size limit if one is given."""
     folders = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
     vendored = F.exists(folders, lambda d: d.isin(C.SKIPPED_DIRS) | d.endswith(".egg-info"))
     binary = F.coalesce(suffix(path).isin(C.BINARY_SUFFIXES), F.lit(False))
-    return ~vendored & ~binary & (size <= max_bytes)
+    return ~vendored & ~binary if max_bytes is None else ~vendored & ~binary & (size <= max_bytes)
 
 
 def is_requirements_file(path: Column) -> Column:

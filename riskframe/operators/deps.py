@@ -91,14 +91,14 @@ def advisory_groups(advisories: DataFrame) -> DataFrame:
             F.min_by(F.struct("id", severity.alias("severity"), "summary", "published"), rank).alias("_rep"),
             F.array_distinct(F.flatten(F.collect_set("_ids"))).alias("_ids"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("_fixes")))).alias("fixed_versions"),
-            F.first(F.coalesce("summary", F.lit("")), ignorenulls=True).alias("_any_summary"),
+            F.min(F.nullif("summary", F.lit(""))).alias("_any_summary"),
         )
         .select(
             *keys,
             F.col("_rep.id").alias("advisory_id"),
             F.array_sort(F.array_except("_ids", F.array("_rep.id"))).alias("aliases"),
             F.col("_rep.severity").alias("severity"),
-            F.left(F.coalesce("_rep.summary", "_any_summary"), F.lit(300)).alias("summary"),
+            F.coalesce(F.nullif("_rep.summary", F.lit("")), "_any_summary", F.lit("")).alias("summary"),
             F.col("_rep.published").alias("published"),
             "fixed_versions",
         )

@@ -114,7 +114,7 @@ def best_reach(members: DataFrame, reach: DataFrame, keys: list[str]) -> DataFra
     return members.join(reach, ["repo_id", "path"]).groupBy(*keys).agg(F.min_by("reach", rank).alias("reach"))
 
 
-def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as ``(node, component)``; a component is named by its smallest node.
 
     Alternates the large-star and small-star steps, which hang every node below smaller ones and converge in a
@@ -125,7 +125,7 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
     nodes = both.select(F.col("u").alias("node")).unionByName(both.select(F.col("v").alias("node"))).distinct()
     current = cut_lineage(both.where(F.col("u") != F.col("v")).distinct())
     previous = None
-    for _ in range(max_rounds):
+    while True:
         two_way = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         smallest = two_way.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = two_way.join(smallest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -141,8 +141,6 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     parents = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(parents, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -224,29 +222,32 @@ def inherited_members(classes: DataFrame, members: DataFrame, vanished: DataFram
     )
 
 
-def follow_aliases(aliases: DataFrame, symbols: DataFrame, hops: int = 6) -> DataFrame:
-    """Resolve re-exported names to the symbol behind them, at most ``hops`` steps: ``library, name, target``.
+def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Resolve re-exported names to the symbols behind them: ``library, name, target``.
 
-    ``aliases(library, name, source)``, ``symbols(library, name)``. Each step is staged and holds only unresolved names.
+    ``aliases(library, name, source)``, ``symbols(library, name)``. Each step is staged and holds only what is not resolved
+    and was not met before, so names that lead round in a circle end as well.
     """
     real = symbols.select("library", F.col("name").alias("at")).distinct()
     step = stage(aliases.select("library", F.col("name").alias("at"), F.col("source").alias("next")).distinct())
     pending = step.select("library", F.col("at").alias("name"), F.col("next").alias("at"))
-    done = None
-    for _ in range(hops + 1):
+    done, met = None, pending
+    while True:
         arrived = pending.join(real, ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target"))
         done = arrived if done is None else done.unionByName(arrived)
         pending = stage(
             pending.join(real, ["library", "at"], "left_anti")
             .join(step, ["library", "at"])
             .select("library", "name", F.col("next").alias("at"))
+            .distinct()
+            .join(met, ["library", "name", "at"], "left_anti")
         )
         if pending.isEmpty():
-            break
-    return done.distinct()
+            return done.distinct()
+        met = met.unionByName(pending)
 
 
-def propagate_contracts(rules: DataFrame, delegates: DataFrame, rounds: int = 3) -> DataFrame:
+def propagate_contracts(rules: DataFrame, delegates: DataFrame) -> DataFrame:
     """Rules on a callee's parameter hold for callers that forward their own argument to it; the first message stays.
 
     ``rules(library, name, param, kind, message)``, ``delegates(library, caller, callee, param, callee_param)``.
@@ -255,13 +256,14 @@ def propagate_contracts(rules: DataFrame, delegates: DataFrame, rounds: int = 3)
     forward = delegates.where(F.col("caller") != F.col("callee")).select(
         "library", F.col("caller"), F.col("callee").alias("name"), F.col("param").alias("_mine"), F.col("callee_param").alias("param")
     )
-    for _ in range(rounds):
-        inherited = (
+    while True:
+        inherited = stage(
             current.join(forward, ["library", "name", "param"])
             .select("library", F.col("caller").alias("name"), F.col("_mine").alias("param"), "kind", "message")
             .groupBy("library", "name", "param", "kind")
             .agg(F.min("message").alias("message"))
             .join(current, ["library", "name", "param", "kind"], "left_anti")
         )
-        current = stage(current.unionByName(inherited))
-    return current
+        if inherited.isEmpty():
+            return current
+        current = current.unionByName(inherited)

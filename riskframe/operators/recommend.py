@@ -31,7 +31,7 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def compound_recommendations(compounds: DataFrame, members: DataFrame, findings: DataFrame, templates: DataFrame) -> DataFrame:
-    """One recommendation per compound with its steps: upgrade, call sites, tests, then other fixes (three at most)."""
+    """One recommendation per compound with its steps: upgrade, call sites, tests, then other fixes."""
     keys = ["repo_id", "signature"]
     chosen = compounds.where(F.col("priority").isin(*RECOMMENDED))
     parts = (
@@ -60,7 +60,7 @@ def compound_recommendations(compounds: DataFrame, members: DataFrame, findings:
         parts.withColumns({"_kind": kind, "_text": text})
         .where(F.col("_kind").isNotNull())
         .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= F.when(F.col("_kind") <= 2, 1).otherwise(3))
+        .where((F.col("_kind") > 2) | (F.col("_n") == 1))
         .groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(F.struct("_kind", "_n", "_text"))).alias("_steps"),
@@ -92,7 +92,7 @@ def finding_recommendations(risks: DataFrame, covered: DataFrame, templates: Dat
             F.col("finding_id").cast("string").alias("risk_key"),
             "priority",
             "score",
-            F.left("title", F.lit(300)).alias("title"),
+            "title",
             F.coalesce("fix", F.lit("Review and remediate.")).alias("fix"),
             F.coalesce("difficulty", F.lit("medium")).alias("difficulty"),
         )
@@ -124,7 +124,7 @@ def action_proposals(recommended: DataFrame) -> DataFrame:
         "repo_id",
         "risk_key",
         F.lit("issue").alias("action_type"),
-        F.left(F.concat(F.lit("["), "priority", F.lit("] "), "title"), F.lit(250)).alias("title"),
+        F.concat(F.lit("["), "priority", F.lit("] "), "title").alias("title"),
         F.lit("proposed").alias("status"),
         F.lit(True).alias("requires_approval"),
         F.col("score").alias("risk_score"),

@@ -249,10 +249,10 @@ def hosted_repositories(repos: DataFrame, show_private: bool, text: str | None =
 
 # ------------------------------------------------------------------------------------------- upkeep
 def append_events(events: DataFrame, high_water: DataFrame) -> DataFrame:
-    """New events with redacted, cut messages and sequence numbers that continue each case's numbering."""
+    """New events with redacted messages and sequence numbers that continue each case's numbering."""
     from riskframe.operators.sequence import with_sequence
 
-    clean = events.withColumn("message", F.left(redact(F.col("message")), F.lit(2000)))
+    clean = events.withColumn("message", redact(F.col("message")))
     return with_sequence(clean, ["repo_id"], "ts", "event_id", start=high_water)
 
 

@@ -109,13 +109,11 @@ def placeholder_judgement(files: DataFrame) -> DataFrame:
     )
 
 
-def hits_per_file(hits: DataFrame, lines_kept: int = 10) -> DataFrame:
-    """One finding per rule and file: hit count and its first lines."""
-    order = Window.partitionBy("repo_id", "rule_id", "path").orderBy("line")
-    ranked = hits.withColumn("_rank", F.row_number().over(order))
-    return ranked.groupBy("repo_id", "rule_id", "path").agg(
+def hits_per_file(hits: DataFrame) -> DataFrame:
+    """One finding per rule and file: hit count and the lines of its hits."""
+    return hits.groupBy("repo_id", "rule_id", "path").agg(
         F.count("*").alias("hits"),
-        F.array_sort(F.collect_list(F.when(F.col("_rank") <= lines_kept, F.col("line")))).alias("lines"),
+        F.array_sort(F.collect_list("line")).alias("lines"),
     )
 
 
@@ -266,10 +264,10 @@ def seed_rows(files: DataFrame, table: str = "ORDERS") -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------ licenses
-def spdx_headers(files: DataFrame, first_lines: int = 30) -> DataFrame:
-    """The first SPDX header among a file's first lines, with its recognised licenses."""
+def spdx_headers(files: DataFrame) -> DataFrame:
+    """The first SPDX header of a file, with its recognised licenses."""
     head = F.transform(
-        F.slice(split_lines(F.col("text")), 1, first_lines),
+        split_lines(F.col("text")),
         lambda text, i: F.struct((i + 1).alias("line"), spdx_header(text).alias("expression")),
     )
     first = F.get(F.filter(head, lambda x: x["expression"].isNotNull()), F.lit(0))
@@ -328,22 +326,16 @@ def changelog_entries(logs: DataFrame) -> DataFrame:
     return grouped.where(F.col("text") != "").withColumnRenamed("entry", "position")
 
 
-def changelog_highlights(old: DataFrame, new: DataFrame, limit: int = 25, without_base: int = 150) -> DataFrame:
+def changelog_highlights(old: DataFrame, new: DataFrame) -> DataFrame:
     """New changelog entries about breaking changes, removals, deprecations or security, per library.
 
-    ``old`` and ``new`` are ``(library, text)``. A library without an old text shows only its newest entries.
+    ``old`` and ``new`` are ``(library, text)``. In a library without an old text all entries are new.
     """
     entries = changelog_entries(new)
-    based = old.select("library").distinct().withColumn("_based", F.lit(True))
     seen = changelog_entries(old).select("library", "text").distinct()
-    fresh = entries.join(seen, ["library", "text"], "left_anti").join(based, "library", "left")
+    fresh = entries.join(seen, ["library", "text"], "left_anti")
     by_position = Window.partitionBy("library").orderBy("position")
-    newest = fresh.withColumn("_rank", F.row_number().over(by_position)).where(
-        F.coalesce("_based", F.lit(False)) | (F.col("_rank") <= without_base)
-    )
-    hits = newest.where(F.rlike("text", F.lit(C.CHANGELOG_KEYWORDS)) & (F.length("text") > 12))
-    return (
-        hits.withColumn("rank", F.row_number().over(by_position))
-        .where(F.col("rank") <= limit)
-        .select("library", "rank", F.left(clean_markup(F.col("text")), F.lit(400)).alias("highlight"))
+    hits = fresh.where(F.rlike("text", F.lit(C.CHANGELOG_KEYWORDS)) & (F.length("text") > 12))
+    return hits.withColumn("rank", F.row_number().over(by_position)).select(
+        "library", "rank", clean_markup(F.col("text")).alias("highlight")
     )

@@ -42,7 +42,7 @@ def stream_case_counters(spark, sf_dir):
 
 @query(
     "stream_event_tail",
-    "SELECT repo_id, event_id, event_type, left(message, 2000) AS message FROM trace",
+    "SELECT repo_id, event_id, event_type, message FROM trace",
     uses=("trace",),
 )
 def stream_event_tail(spark, sf_dir):

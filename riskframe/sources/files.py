@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from riskframe.functions import paths
 from riskframe.functions.text import split_lines
 
-SOURCE_SUFFIXES = "py js jsx mjs cjs ts tsx mts cts java go rs rb php cs c h cpp hpp kt swift scala sql sh".split()
+SOURCE_SUFFIXES = [
+    "py", "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "java", "go", "rs", "rb", "php", "cs", "c", "h", "cpp", "hpp", "kt",
+    "swift", "scala", "sql", "sh",
+]
 
 
-def read_repository_files(spark: SparkSession, root: str, max_bytes: int = 400_000) -> DataFrame:
-    """Text files under ``root/<repository>/…``: no vendored folders, no binaries, within the size limit."""
+def read_repository_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Text files under ``root/<repository>/…``: no vendored folders, no binaries, within a size limit if one is given."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     named = raw.select(
@@ -33,7 +36,7 @@ def text_files(blobs: DataFrame) -> DataFrame:
     )
 
 
-def project_tree(files: DataFrame, max_bytes: int = 400_000) -> DataFrame:
+def project_tree(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Source files and manifests of a project, without hidden or vendored folders."""
     path = F.col("path")
     manifest = paths.ecosystem_of_manifest(path).isNotNull() | (paths.file_name(path) == "package-lock.json")

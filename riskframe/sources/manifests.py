@@ -15,7 +15,6 @@ from riskframe.sources.files import lines
 REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(\[[^\]]*\])?\s*(\(?[^;#]*\)?)?\s*(;.*)?$"
 EXACT_PYTHON = r"^===?\s*([A-Za-z0-9.+!_-]+)$"
 EXACT_SEMVER = r"^=?v?(\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.-]+)?)$"
-MAX_FOLDERS = 3
 COLUMNS = "repo_id name display_name ecosystem spec version pinned manifest line dev resolved_from".split()
 
 
@@ -58,16 +57,14 @@ def _dependencies(df: DataFrame, ecosystem: str, name: Column, spec: Column, ver
     )
 
 
-def included_requirements(files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Requirement files and what they include, each file once, at most three includes deep: ``repo_id, path``."""
+def included_requirements(files: DataFrame) -> DataFrame:
+    """Requirement files and what they include, each file once: ``repo_id, path``."""
     texts = files.select("repo_id", "path", "text")
     known = cut_lineage(
-        texts.where(paths.is_requirements_file(F.col("path")) & (F.size(F.split("path", "/")) <= MAX_FOLDERS + 1)).select("repo_id", "path").distinct()
+        texts.where(paths.is_requirements_file(F.col("path"))).select("repo_id", "path").distinct()
     )
     frontier = known
-    for _ in range(max_depth):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         inside = texts.join(frontier, ["repo_id", "path"], "left_semi")
         include = F.regexp_extract(strip(F.col("line_text")), r"^(?:-r|--requirement)\s+(\S.*)$", 1)
         folder = F.regexp_replace("path", r"[^/]+$", "")
@@ -267,18 +264,17 @@ def gradle_files(files: DataFrame) -> DataFrame:
 
 
 def all_dependencies(files: DataFrame) -> DataFrame:
-    """Dependencies of every manifest at most three folders deep, the first of each ecosystem, name and manifest."""
-    shallow = files.where(F.size(F.split("path", "/")) <= MAX_FOLDERS + 1)
+    """Dependencies of every manifest, the first of each ecosystem, name and manifest."""
     parts = [
         requirement_files(files),
-        *[read(shallow) for read in (pyproject_files, pipfiles, npm_manifests, go_modules, cargo_files, maven_files, gradle_files)],
+        *[read(files) for read in (pyproject_files, pipfiles, npm_manifests, go_modules, cargo_files, maven_files, gradle_files)],
     ]
     every = reduce(DataFrame.unionByName, parts)
     keys = ["repo_id", "ecosystem", "name", "manifest"]
     rest = [c for c in COLUMNS if c not in keys]
     return (
         every.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.coalesce("line", F.lit(2**30))).alias("_d"))
+        .agg(F.min(F.struct(F.coalesce("line", F.lit(2**30)).alias("_at"), *rest)).alias("_d"))
         .select(*keys, "_d.*")
         .select(*COLUMNS)
     )

@@ -87,7 +87,7 @@ def parse_commit_log(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.get(head, F.lit(0)).alias("sha"),
         F.get(head, F.lit(1)).alias("author"),
         F.try_to_timestamp(F.get(head, F.lit(2))).alias("date"),
-        F.left(F.coalesce(F.get(head, F.lit(3)), F.lit("")), F.lit(200)).alias("subject"),
+        F.coalesce(F.get(head, F.lit(3)), F.lit("")).alias("subject"),
         F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))).alias("_files"),
     ).where(F.col("date").isNotNull())
     fields = F.split("f", "\t")
@@ -150,7 +150,7 @@ def test_failures(logs: DataFrame) -> DataFrame:
             "run_id",
             F.lower(F.regexp_extract("t", pattern, 1)).alias("kind"),
             F.regexp_extract("t", pattern, 2).alias("node_id"),
-            F.left(F.regexp_extract("t", pattern, 3), F.lit(300)).alias("message"),
+            F.regexp_extract("t", pattern, 3).alias("message"),
         )
     )
 
@@ -166,7 +166,7 @@ def coverage_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
             "repo_id",
             F.replace("path", F.lit("\\"), F.lit("/")).alias("path"),
             "f.summary.*",
-            F.slice("f.missing_lines", 1, 50).alias("missing_lines"),
+            F.col("f.missing_lines").alias("missing_lines"),
         )
     )
     return doc.select("repo_id", "d.totals.*"), files
@@ -191,8 +191,8 @@ def benchmark_results(outputs: DataFrame) -> DataFrame:
     )
 
 
-def scanner_results(reports: DataFrame, per_repo: int = 30) -> DataFrame:
-    """Findings of an external scanner: the first results of a repository, without those in tests."""
+def scanner_results(reports: DataFrame) -> DataFrame:
+    """Findings of an external scanner, without those in tests."""
     schema = "results array<struct<path:string,check_id:string,start:struct<line:int>,extra:struct<lines:string,message:string>>>"
     rows = reports.select("repo_id", F.posexplode(F.from_json("text", schema)["results"]).alias("position", "r")).select(
         "repo_id",
@@ -200,10 +200,10 @@ def scanner_results(reports: DataFrame, per_repo: int = 30) -> DataFrame:
         F.regexp_replace(F.replace(F.col("r.path"), F.lit("\\"), F.lit("/")), r"^[./]+", "").alias("path"),
         F.nullif(F.col("r.start.line"), F.lit(0)).alias("line"),
         F.coalesce("r.check_id", F.lit("scanner")).alias("check_id"),
-        F.left(F.coalesce("r.extra.lines", F.lit("")), F.lit(400)).alias("excerpt"),
+        F.coalesce("r.extra.lines", F.lit("")).alias("excerpt"),
         F.coalesce("r.extra.message", "r.check_id").alias("message"),
     )
-    return rows.where((F.col("position") < per_repo) & (F.col("path") != "") & ~is_test_path(F.col("path")))
+    return rows.where((F.col("path") != "") & ~is_test_path(F.col("path")))
 
 
 def corroborate(results: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
