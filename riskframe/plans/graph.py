@@ -13,12 +13,12 @@ from riskframe.sources.adapters import adapt, table
 MODULE_SQL = "(CASE WHEN {p} % 10 = 0 THEN concat('tests/test_m', {p}, '.py') WHEN {p} % 97 = 1 THEN concat('src/api/m', {p}, '.py') ELSE concat('src/core/m', {p}, '.py') END)"
 # Imports halve the module number, so chains are as deep as its bits; line 7 points upwards and makes cycles.
 IMPORTED = "(CASE WHEN l_linenumber = 7 THEN l_partkey + 1 ELSE CAST(floor(l_partkey / 2) AS BIGINT) END)"
-EDGES_SQL = f"""edges AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, {MODULE_SQL.format(p='l_partkey')} AS importer, {MODULE_SQL.format(p=IMPORTED)} AS path FROM lineitem WHERE l_partkey % 4 <> 3),
+EDGES_SQL = f"""edges AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, {MODULE_SQL.format(p='l_partkey')} AS importer, {MODULE_SQL.format(p=IMPORTED)} AS path FROM lineitem),
     nodes AS (SELECT DISTINCT repo_id, path FROM (SELECT repo_id, importer AS path FROM edges UNION ALL SELECT repo_id, path FROM edges))"""
 
 
 def import_edges(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_partkey % 4 <> 3")
+    items = table(spark, sf_dir, "lineitem")
     return items.selectExpr(
         "l_suppkey % 20 AS repo_id", f"{MODULE_SQL.format(p='l_partkey')} AS importer", f"{MODULE_SQL.format(p=IMPORTED)} AS path"
     ).distinct()
@@ -92,7 +92,7 @@ def alias_groups(spark, sf_dir):
 @query(
     "module_resolution",
     """WITH names AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, 'pkg' || (l_partkey % 40) || '.mod' || (l_partkey % 6) || '.fn' || l_linenumber AS target FROM lineitem),
-    modules AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, CASE WHEN l_partkey % 3 = 0 THEN 'pkg' || (l_partkey % 30) ELSE 'pkg' || (l_partkey % 30) || '.mod' || (l_partkey % 4) END AS module FROM lineitem WHERE l_linenumber = 1),
+    modules AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, CASE WHEN l_partkey % 3 = 0 THEN 'pkg' || (l_partkey % 30) ELSE 'pkg' || (l_partkey % 30) || '.mod' || (l_partkey % 4) END AS module FROM lineitem),
     hits AS (SELECT n.repo_id, n.target, arg_max(module, length(module)) AS module FROM names n JOIN modules m ON m.repo_id = n.repo_id AND starts_with(n.target || '.', m.module || '.') GROUP BY ALL)
     SELECT n.repo_id, n.target, h.module FROM names n LEFT JOIN hits h ON h.repo_id = n.repo_id AND h.target = n.target""",
 )
@@ -101,7 +101,7 @@ def module_resolution(spark, sf_dir):
     names = items.selectExpr(
         "l_suppkey % 20 AS repo_id", "concat('pkg', l_partkey % 40, '.mod', l_partkey % 6, '.fn', l_linenumber) AS target"
     ).distinct()
-    modules = items.where("l_linenumber = 1").selectExpr(
+    modules = items.selectExpr(
         "l_suppkey % 20 AS repo_id",
         "CASE WHEN l_partkey % 3 = 0 THEN concat('pkg', l_partkey % 30) ELSE concat('pkg', l_partkey % 30, '.mod', l_partkey % 4) END AS module",
     ).distinct()
@@ -130,8 +130,8 @@ def unpinned_by_manifest(spark, sf_dir):
     return found.select("repo_id", "manifest", "unpinned", F.size("packages").cast("bigint").alias("packages"))
 
 
-ADVISORIES_SQL = """advisories AS (SELECT DISTINCT 'pkg' || (l_partkey % 150) AS package, (l_partkey % 3) || '.' || (l_partkey % 10) || '.' || (l_partkey % 7) AS version,
-      'GHSA-' || (l_partkey % 150) || '-' || (l_linenumber % 4) AS id FROM lineitem WHERE l_linenumber % 2 = 1 AND l_partkey % 6 = 0)"""
+ADVISORIES_SQL = """advisories AS (SELECT DISTINCT 'pkg' || (l_partkey % 150) AS package, (l_suppkey % 3) || '.' || (l_suppkey % 10) || '.' || (l_partkey % 7) AS version,
+      'GHSA-' || (l_partkey % 150) || '-' || (l_linenumber % 4) AS id FROM lineitem)"""
 
 
 @query(
@@ -144,11 +144,10 @@ ADVISORIES_SQL = """advisories AS (SELECT DISTINCT 'pkg' || (l_partkey % 150) AS
 def advisory_lookup(spark, sf_dir):
     advisories = (
         table(spark, sf_dir, "lineitem")
-        .where("l_linenumber % 2 = 1 AND l_partkey % 6 = 0")
         .selectExpr(
             "'PyPI' AS ecosystem",
             "concat('pkg', l_partkey % 150) AS package",
-            "concat(l_partkey % 3, '.', l_partkey % 10, '.', l_partkey % 7) AS version",
+            "concat(l_suppkey % 3, '.', l_suppkey % 10, '.', l_partkey % 7) AS version",
             "concat('GHSA-', l_partkey % 150, '-', l_linenumber % 4) AS id",
         )
         .distinct()
@@ -230,7 +229,7 @@ def benchmark_scaling(spark, sf_dir):
 @query(
     "version_tags",
     """WITH v AS (SELECT DISTINCT l_suppkey AS library, (l_partkey % 3) || '.' || (l_partkey % 10) AS version FROM lineitem),
-    t AS (SELECT DISTINCT l_suppkey AS library, CASE l_linenumber WHEN 1 THEN 'V' WHEN 2 THEN 'Release-' WHEN 3 THEN 'lib-' ELSE 'other-' END || (l_partkey % 3) || '.' || (l_partkey % 10) AS tag FROM lineitem WHERE l_partkey % 5 < 2),
+    t AS (SELECT DISTINCT l_suppkey AS library, CASE l_linenumber WHEN 1 THEN 'V' WHEN 2 THEN 'Release-' WHEN 3 THEN 'lib-' ELSE 'other-' END || (l_partkey % 3) || '.' || (l_partkey % 10) AS tag FROM lineitem),
     c AS (SELECT v.library, version, tag, CASE lower(tag) WHEN 'v' || version THEN 1 WHEN 'lib-' || version THEN 2 WHEN 'release-' || version THEN 5 END AS rk FROM v JOIN t ON t.library = v.library)
     SELECT library, version, arg_min(tag, rk) AS tag FROM c WHERE rk IS NOT NULL GROUP BY ALL""",
 )
@@ -241,7 +240,7 @@ def version_tags(spark, sf_dir):
     ).distinct()
     prefix = "CASE l_linenumber WHEN 1 THEN 'V' WHEN 2 THEN 'Release-' WHEN 3 THEN 'lib-' ELSE 'other-' END"
     tags = (
-        items.where("l_partkey % 5 < 2")
+        items
         .selectExpr("l_suppkey AS library", f"concat({prefix}, l_partkey % 3, '.', l_partkey % 10) AS tag")
         .distinct()
     )

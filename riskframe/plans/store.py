@@ -176,8 +176,8 @@ def project_sizes(spark, sf_dir):
 
 @query(
     "upload_limits",
-    """WITH inc AS (SELECT l_suppkey AS project_id, 'f' || l_partkey AS path, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS size FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
-    kept AS (SELECT DISTINCT l_suppkey AS project_id, 'f' || l_partkey AS path, 10e0 AS size FROM lineitem WHERE l_linenumber = 5),
+    """WITH inc AS (SELECT l_suppkey AS project_id, 'f' || l_partkey AS path, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS size FROM lineitem GROUP BY ALL),
+    kept AS (SELECT DISTINCT l_suppkey AS project_id, 'f' || (l_partkey + l_linenumber) AS path, 10e0 AS size FROM lineitem),
     every AS (SELECT * FROM inc UNION ALL SELECT * FROM kept WHERE (project_id, path) NOT IN (SELECT project_id, path FROM inc))
     SELECT project_id, count(*) AS files, sum(size) AS bytes, count(*) <= 420 AND sum(size) <= 10000 AS accepted FROM every GROUP BY project_id""",
 )
@@ -185,38 +185,40 @@ def upload_limits(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     path = F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("path")
     project = F.col("l_suppkey").alias("project_id")
-    incoming = items.where(F.col("l_linenumber") <= 3).select(
+    incoming = items.select(
         project,
         path,
         F.col("l_quantity").alias("size"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity").alias("position"),
     )
-    kept = items.where(F.col("l_linenumber") == 5).select(project, path, F.lit(10.0).alias("size")).distinct()
+    older = F.concat(F.lit("f"), (F.col("l_partkey") + F.col("l_linenumber")).cast("string")).alias("path")
+    kept = items.select(project, older, F.lit(10.0).alias("size")).distinct()
     return store.upload_check(incoming, kept, max_files=420, max_bytes=10_000)
 
 
 @query(
     "upserted_events",
-    """WITH cur AS (SELECT user_id, event_type, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY ALL), inc AS (SELECT user_id, event_type, min(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+    """WITH cur AS (SELECT user_id, event_type, max(value) AS value FROM events GROUP BY ALL), inc AS (SELECT user_id + event_id % 2 * 1000 AS user_id, event_type, min(value) AS value FROM events GROUP BY ALL)
     SELECT coalesce(c.user_id, i.user_id) AS user_id, coalesce(c.event_type, i.event_type) AS event_type, coalesce(i.value, c.value) AS value
     FROM cur c FULL JOIN inc i ON c.user_id = i.user_id AND c.event_type = i.event_type""",
 )
 def upserted_events(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    current = events.where(F.col("event_id") % 2 == 0).groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    incoming = events.where(F.col("event_id") % 3 == 0).groupBy("user_id", "event_type").agg(F.min("value").alias("value"))
+    current = events.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
+    moved = (F.col("user_id") + F.col("event_id") % 2 * 1000).alias("user_id")
+    incoming = events.groupBy(moved, "event_type").agg(F.min("value").alias("value"))
     return store.upsert(current, incoming, ["user_id", "event_type"])
 
 
 @query(
     "replaced_children",
-    """WITH inc AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 7)
+    """WITH inc AS (SELECT l_orderkey * 2 AS l_orderkey, l_partkey, l_quantity FROM lineitem)
     SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM inc) UNION ALL SELECT * FROM inc""",
 )
 def replaced_children(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber")
-    incoming = items.where(F.col("l_linenumber") == 7).drop("l_linenumber")
-    return store.replace_children(items.drop("l_linenumber"), incoming, ["l_orderkey"])
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    incoming = items.withColumn("l_orderkey", F.col("l_orderkey") * 2)
+    return store.replace_children(items, incoming, ["l_orderkey"])
 
 
 @query(
