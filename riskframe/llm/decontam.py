@@ -166,11 +166,11 @@ def contaminated_pairs(
     item_id_column: str = "item_id",
     item_text_column: str = "text",
 ) -> DataFrame:
-    """One row per document and item template that it holds: doc_id, _th, item_id, matched_tokens, item_tokens, first_token, exact.
+    """One row per document and item that it holds: doc_id, _th, item_id, matched_tokens, item_tokens, first_token, exact.
 
     A pair is reported if along one alignment windows with consistent slots cover ``MATCHED_TOKENS`` tokens of the item, or
-    all tokens of a shorter one; ``exact`` says that the slots hold the item's own values. Items of one template are one
-    item, with the smallest id. Windows have ``WINDOW`` tokens (or all of a shorter item's), at least half of them words.
+    all tokens of a shorter one; ``exact`` says that the slots hold the item's own values. Items of one template and
+    equal slots are one item, with the smallest id; with other slots each is judged by its own. Windows have ``WINDOW`` tokens (or all of a shorter item's), at least half of them words.
 
     Null and empty texts have no tokens and match nothing, on either side; items of fewer than ``MIN_ITEM_TOKENS`` tokens or
     without a window of enough words match nothing. Null ids are kept as ids. Rows equal in id and text are one document.
@@ -182,7 +182,7 @@ def contaminated_pairs(
     bench = written(_named(items, item_id_column, item_text_column).mapInArrow(_hits(None, None), HIT_SCHEMA))
     whole = (
         bench.groupBy("doc_id", "_th", "n_tokens")
-        .agg(F.hash(F.array_sort(F.collect_list(F.struct("place", "key")))).alias("_h"), F.sum(F.col("key") % (1 << 40)).alias("_s"))
+        .agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("place", "key", "slots")))).alias("_h"), F.sum(F.col("key") % (1 << 40)).alias("_s"))
     )
     leads = whole.groupBy("_h", "_s", "n_tokens").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("_l"))
     leads = leads.select(F.col("_l.doc_id").alias("_i"), F.col("_l._th").alias("_t")).distinct()

@@ -67,3 +67,11 @@ def test_windows_by_brute_force(spark, documents):
     table = spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)
     got = {(r.doc_id, r.item_id): r.matched_tokens for r in contaminated_pairs(documents(docs), table).collect()}
     assert want <= set(got) and all(n >= 13 for n in got.values())
+
+
+def test_items_of_one_template_are_judged_each_by_its_own_values(spark, documents):
+    other = QUESTION.replace("3.5", "5").replace("12", "6").replace("4 of", "5 of")
+    items = spark.createDataFrame([(1, QUESTION, "x"), (2, other, "x"), (3, other, "x")], ITEMS)
+    got = {(r.doc_id, r.item_id): r.exact for r in contaminated_pairs(documents([(10, other), (11, QUESTION)]), items).collect()}
+    assert got[10, 2] and got[11, 1] and not {(10, 3), (11, 3)} & set(got)
+    assert without_contaminated(documents([(10, other), (11, QUESTION)]), items).count() == 0
