@@ -3,7 +3,8 @@
 Texts become sequences of tokens (letters and digits, A-Z in lower case) in which numbers, names and units are replaced by
 typed placeholders, so a question asked with other numbers and names has the same template. Windows of template tokens are
 hash-joined with those of the benchmark items. Along each alignment of a document with an item the slots are then checked:
-each value of the item must stand for one value of the document and the other way round.
+each value of the item must stand for one value of the document (two values of the item may become one). Where one stands for
+several, windows that hold the item's own values still count, and so does a long run of the alignment without such a clash.
 
 * number: a token that starts with a digit; digits joined by one point or comma are one number.
 * unit: a token of ``UNITS`` right after a number.
@@ -12,11 +13,12 @@ each value of the item must stand for one value of the document and the other wa
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import rows_by_key, small_side, text_hash, written
@@ -24,6 +26,7 @@ from riskframe.llm.textvec import MARKS, blocks, byte_table, find_words, mix
 
 WINDOW = 8
 MATCHED_TOKENS = 13
+RUN_TOKENS = 2 * MATCHED_TOKENS
 MIN_ITEM_TOKENS = 5
 FILTER_LIMIT = 2_000_000
 
@@ -152,6 +155,44 @@ def _hits(sizes: list[int] | None, wanted: np.ndarray | None):
     return run
 
 
+def longest_run(covered: list[int], pairs: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """(tokens, first of them) of the longest run in which each item value stands for one document value. ``covered`` are the
+    item's matched places in order, ``pairs`` the slots among them: place, item value, document value."""
+    seen: dict[int, tuple[int, int]] = {}
+    low, best = 0, (0, 0)
+
+    def close(end: int) -> None:
+        nonlocal best
+        first = bisect_left(covered, low)
+        best = max(best, (bisect_left(covered, end) - first, -first))
+
+    for place, item, doc in sorted(pairs):
+        if item in seen and seen[item][0] != doc and seen[item][1] >= low:
+            close(place)
+            low = seen[item][1] + 1
+        seen[item] = (doc, place)
+    close(covered[-1] + 1)
+    return best[0], covered[-best[1]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments with a clash (those with ``_pairs``) get the tokens and the first token of their longest run."""
+    for batch in batches:
+        names = batch.schema.names
+        tokens, first = (batch.column(x).to_pylist() for x in ("_run", "first_token"))
+        for row in np.flatnonzero(batch.column("_pairs").is_valid().to_numpy(zero_copy_only=False)).tolist():
+            places, pairs, size, line = (batch.column(x)[row].as_py() for x in ("_places", "_pairs", "_size", "_line"))
+            covered = sorted({p + i for p in places for i in range(size)})
+            tokens[row], at = longest_run(covered, [(z["p"], z["i"], z["d"]) for z in pairs])
+            first[row] = line + at
+        changed = {"_run": pa.array(tokens, pa.int32()), "first_token": pa.array(first, pa.int32())}
+        yield pa.RecordBatch.from_arrays([changed.get(x, batch.column(x)) for x in names if x not in INNER], [x for x in names if x not in INNER])
+
+
+INNER = ("_places", "_pairs", "_size", "_line")
+JUDGED = "doc_id long, _th long, item_id long, item_tokens int, first_token int, _covered int, _own int, _own_first int, exact boolean, _consistent boolean, _run int"
+
+
 def _named(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.select(
         F.col(id_column).cast("long").alias("doc_id"), text_hash(text_column).alias("_th"), F.col(text_column).alias("_text")
@@ -169,7 +210,8 @@ def contaminated_pairs(
     """One row per document and item that it holds: doc_id, _th, item_id, matched_tokens, item_tokens, first_token, exact.
 
     A pair is reported if along one alignment windows with consistent slots cover ``MATCHED_TOKENS`` tokens of the item, or
-    all tokens of a shorter one; ``exact`` says that the slots hold the item's own values. Items of one template and
+    all tokens of a shorter one; ``exact`` says that all slots hold the item's own values. An alignment with a clash of slots
+    counts by its longest run without one, from ``RUN_TOKENS`` tokens, or by its windows of the item's own values. Items of one template and
     equal slots are one item, with the smallest id; with other slots each is judged by its own. Windows have ``WINDOW`` tokens (or all of a shorter item's), at least half of them words.
 
     Null and empty texts have no tokens and match nothing, on either side; items of fewer than ``MIN_ITEM_TOKENS`` tokens or
@@ -209,26 +251,42 @@ def contaminated_pairs(
     )
     lined = met.groupBy("doc_id", "_th", "item_id", "_ith", "item_tokens", (F.col("place") - F.col("_ip")).alias("_line")).agg(
         F.array_sort(F.collect_set("_ip")).alias("_places"),
+        F.array_sort(F.collect_set(F.when(F.col("_is") == F.col("slots"), F.col("_ip")))).alias("_same"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("_pairs"),
         F.max("size").alias("_size"),
         F.min("place").alias("first_token"),
     )
-    steps = F.aggregate(
-        "_places",
-        F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("end")),
-        lambda s, p: F.struct(
-            (s["covered"] + p + F.col("_size") - F.greatest(s["end"], p)).alias("covered"), (p + F.col("_size")).alias("end")
-        ),
-        lambda s: s["covered"],
-    )
+
+    def covered(places: str) -> Column:
+        return F.aggregate(
+            places,
+            F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("end")),
+            lambda s, p: F.struct(
+                (s["covered"] + p + F.col("_size") - F.greatest(s["end"], p)).alias("covered"), (p + F.col("_size")).alias("end")
+            ),
+            lambda s: s["covered"],
+        )
+
     values = F.array_distinct(F.transform("_pairs", lambda z: F.struct(z["i"], z["d"])))
-    both = (F.size(values) == F.size(F.array_distinct(F.transform("_pairs", lambda z: z["i"])))) & (
-        F.size(values) == F.size(F.array_distinct(F.transform("_pairs", lambda z: z["d"])))
+    one = F.size(values) == F.size(F.array_distinct(F.transform("_pairs", lambda z: z["i"])))
+    judged = (
+        lined.withColumn("_consistent", one)
+        .select(
+            "doc_id", "_th", "item_id", "item_tokens", "first_token", covered("_places").alias("_covered"), covered("_same").alias("_own"),
+            (F.col("_line") + F.get("_same", F.lit(0))).alias("_own_first"), F.forall("_pairs", lambda z: z["i"] == z["d"]).alias("exact"),
+            "_consistent", F.lit(0).alias("_run"), "_line", "_size",
+            F.when(~F.col("_consistent"), F.col("_places")).alias("_places"), F.when(~F.col("_consistent"), F.col("_pairs")).alias("_pairs"),
+        )
+        .mapInArrow(_runs, JUDGED)
     )
-    judged = lined.select(
-        "doc_id", "_th", "item_id", "item_tokens", "first_token", steps.alias("matched_tokens"),
-        F.forall("_pairs", lambda z: z["i"] == z["d"]).alias("exact"), both.alias("_consistent"),
-    ).where(F.col("_consistent") & (F.col("matched_tokens") >= F.least(F.col("item_tokens"), F.lit(MATCHED_TOKENS))))
+    least = F.least(F.col("item_tokens"), F.lit(MATCHED_TOKENS))
+    by_run = ~F.col("_consistent") & (F.col("_run") >= RUN_TOKENS)
+    by_own = ~F.col("_consistent") & ~by_run
+    judged = judged.select(
+        "doc_id", "_th", "item_id", "item_tokens", "exact",
+        F.when(by_own, F.col("_own_first")).otherwise(F.col("first_token")).alias("first_token"),
+        F.when(by_own, F.col("_own")).when(by_run, F.col("_run")).otherwise(F.col("_covered")).alias("matched_tokens"),
+    ).where(F.col("matched_tokens") >= least)
     best = F.max(F.struct("exact", "matched_tokens", -F.col("first_token"))).alias("_b")
     return (
         judged.groupBy("doc_id", "_th", "item_id", "item_tokens")

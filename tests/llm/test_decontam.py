@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import types as T
 
-from riskframe.llm.decontam import contaminated_pairs, without_contaminated
+from riskframe.llm.decontam import contaminated_pairs, longest_run, without_contaminated
 
 ITEMS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("key", T.StringType())])
 
@@ -75,3 +75,31 @@ def test_items_of_one_template_are_judged_each_by_its_own_values(spark, document
     got = {(r.doc_id, r.item_id): r.exact for r in contaminated_pairs(documents([(10, other), (11, QUESTION)]), items).collect()}
     assert got[10, 2] and got[11, 1] and not {(10, 3), (11, 3)} & set(got)
     assert without_contaminated(documents([(10, other), (11, QUESTION)]), items).count() == 0
+
+
+def test_a_clash_of_slots_does_not_hide_the_rest(spark, documents):
+    long_item = f"{QUESTION} {words(11, 30)}"
+    items = spark.createDataFrame([(1, QUESTION, "x"), (2, long_item, "x")], ITEMS)
+    rows = [
+        (10, f"{words(2, 20)} {QUESTION.replace('then Tom', 'then Ben')}"),  # one occurrence changed in a copy
+        (11, ASKED_ANEW.replace("30", "7")),  # two values of the item became one
+        (12, MIXED_UP),  # a clash in a short question with other values throughout
+        (13, f"{MIXED_UP} {words(11, 30)}"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contaminated_pairs(documents(rows), items).collect()}
+    assert {(10, 1), (11, 1), (13, 2)} <= set(got) and not any(d == 12 for d, _ in got)
+    assert 13 <= got[10, 1].matched_tokens < 26 and not got[10, 1].exact and got[13, 2].matched_tokens >= 26
+
+
+def test_longest_run_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        covered = sorted(rng.sample(range(30), rng.randrange(1, 25)))
+        pairs = [(p, rng.randrange(4), rng.randrange(2)) for p in covered if rng.random() < 0.4]
+        want = 0
+        for a in range(31):
+            for b in range(a + 1, 31):
+                held = {(i, d) for p, i, d in pairs if a <= p < b}
+                if len(held) == len({i for i, _ in held}):
+                    want = max(want, sum(a <= p < b for p in covered))
+        assert longest_run(covered, pairs)[0] == want
