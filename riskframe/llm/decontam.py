@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of tokens (letters and digits, A-Z in lower case) in which numbers, names and units are replaced by
+Texts become sequences of tokens (letters and digits, A-Z and the capitals of Latin-1 in lower case) in which numbers, names and units are replaced by
 typed placeholders, so a question asked with other numbers and names has the same template. Windows of template tokens are
 hash-joined with those of the benchmark items. Along each alignment of a document with an item the slots are then checked:
 each value of the item must stand for one value of the document (two values of the item may become one). Where one stands for
-several, windows that hold the item's own values still count, and so does a long run of the alignment without such a clash.
+several, a long run of the alignment without such a clash still counts. Beside these windows, windows of the plain tokens,
+without placeholders, are joined in the same way: they do not depend on letter case and hold for any part copied word for word.
 
 * number: a token that starts with a digit; digits joined by one point or comma are one number.
 * unit: a token of ``UNITS`` right after a number.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from riskframe.llm.textvec import MARKS, blocks, byte_table, find_words, mix
 WINDOW = 8
 MATCHED_TOKENS = 13
 RUN_TOKENS = 2 * MATCHED_TOKENS
+PLAIN_SEED = 1 << 20  # keys of plain windows differ from those of template windows
 MIN_ITEM_TOKENS = 5
 FILTER_LIMIT = 2_000_000
 
@@ -63,9 +66,17 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with the capitals of Latin-1 (two bytes each) in lower case."""
+    low = data.copy()
+    capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low[1:][capital] += 0x20
+    return low
+
+
 def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(code, value, is_slot, bounds) of the block's template tokens: what windows compare, what stands in a slot."""
-    words = find_words(data, offsets, _TABLE)
+    words = find_words(_folded(data), offsets, _TABLE)
     n = len(words.start)
     if not n:
         none = np.zeros(0, np.uint64)
@@ -98,7 +109,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code[keep], value[keep], (number | unit | name)[keep], bounds
 
 
-def _windows(size: int, code: np.ndarray, slot: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(size: int, code: np.ndarray, slot: np.ndarray, bounds: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the block's windows of ``size`` tokens of one text, at least half of them words."""
     n = len(code) - size + 1
     if n <= 0:
@@ -106,13 +117,13 @@ def _windows(size: int, code: np.ndarray, slot: np.ndarray, bounds: np.ndarray)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     slots = np.concatenate([[0], np.cumsum(slot)])
     start = np.flatnonzero((text[:n] == text[size - 1 :]) & (2 * (slots[size:] - slots[:n]) <= size))
-    key = np.full(n, size, np.uint64)
+    key = np.full(n, seed + size, np.uint64)
     for i in range(size):
         key = mix(key * _STEP + code[i : i + n])
     return start, key[start]
 
 
-HIT_SCHEMA = "doc_id long, _th long, n_tokens int, place int, key long, size int, slots array<long>, at array<int>"
+HIT_SCHEMA = "doc_id long, _th long, n_tokens int, place int, key long, size int, plain boolean, slots array<long>, at array<int>"
 
 
 def _hits(sizes: list[int] | None, wanted: np.ndarray | None):
@@ -123,8 +134,10 @@ def _hits(sizes: list[int] | None, wanted: np.ndarray | None):
             for lo, hi, data, offsets in blocks(batch.column("_text")):
                 code, value, slot, bounds = template(data, offsets)
                 counts = np.diff(bounds)
-                for size in sizes or sorted({min(WINDOW, c) for c in counts.tolist() if c >= MIN_ITEM_TOKENS}):
-                    start, key = _windows(size, code, slot, bounds)
+                used = sizes or sorted({min(WINDOW, c) for c in counts.tolist() if c >= MIN_ITEM_TOKENS})
+                forms = ((False, code, slot), (True, value, np.zeros(len(slot), bool)))
+                for size, (plain, code, slot) in product(used, forms):
+                    start, key = _windows(size, code, slot, bounds, PLAIN_SEED if plain else 0)
                     row = np.searchsorted(bounds, start, "right") - 1
                     if sizes is None:
                         fit = np.minimum(counts[row], WINDOW) == size
@@ -146,10 +159,11 @@ def _hits(sizes: list[int] | None, wanted: np.ndarray | None):
                                 pa.array((s - bounds[r]).astype(np.int32)),
                                 pa.array(k.view(np.int64)),
                                 pa.array(np.full(len(s), size, np.int32)),
+                                pa.array(np.full(len(s), plain)),
                                 pa.ListArray.from_arrays(pa.array(ends), pa.array(value[inside][held].view(np.int64))),
                                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.broadcast_to(np.arange(size, dtype=np.int32), held.shape)[held])),
                             ],
-                            ["doc_id", "_th", "n_tokens", "place", "key", "size", "slots", "at"],
+                            ["doc_id", "_th", "n_tokens", "place", "key", "size", "plain", "slots", "at"],
                         )
 
     return run
@@ -179,18 +193,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Alignments with a clash (those with ``_pairs``) get the tokens and the first token of their longest run."""
     for batch in batches:
         names = batch.schema.names
-        tokens, first = (batch.column(x).to_pylist() for x in ("_run", "first_token"))
+        tokens, first = (batch.column(x).to_pylist() for x in ("matched_tokens", "first_token"))
         for row in np.flatnonzero(batch.column("_pairs").is_valid().to_numpy(zero_copy_only=False)).tolist():
             places, pairs, size, line = (batch.column(x)[row].as_py() for x in ("_places", "_pairs", "_size", "_line"))
             covered = sorted({p + i for p in places for i in range(size)})
             tokens[row], at = longest_run(covered, [(z["p"], z["i"], z["d"]) for z in pairs])
             first[row] = line + at
-        changed = {"_run": pa.array(tokens, pa.int32()), "first_token": pa.array(first, pa.int32())}
+        changed = {"matched_tokens": pa.array(tokens, pa.int32()), "first_token": pa.array(first, pa.int32())}
         yield pa.RecordBatch.from_arrays([changed.get(x, batch.column(x)) for x in names if x not in INNER], [x for x in names if x not in INNER])
 
 
 INNER = ("_places", "_pairs", "_size", "_line")
-JUDGED = "doc_id long, _th long, item_id long, item_tokens int, first_token int, _covered int, _own int, _own_first int, exact boolean, _consistent boolean, _run int"
+JUDGED = "doc_id long, _th long, item_id long, item_tokens int, first_token int, matched_tokens int, exact boolean, _consistent boolean"
 
 
 def _named(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -210,12 +224,14 @@ def contaminated_pairs(
     """One row per document and item that it holds: doc_id, _th, item_id, matched_tokens, item_tokens, first_token, exact.
 
     A pair is reported if along one alignment windows with consistent slots cover ``MATCHED_TOKENS`` tokens of the item, or
-    all tokens of a shorter one; ``exact`` says that all slots hold the item's own values. An alignment with a clash of slots
-    counts by its longest run without one, from ``RUN_TOKENS`` tokens, or by its windows of the item's own values. Items of one template and
-    equal slots are one item, with the smallest id; with other slots each is judged by its own. Windows have ``WINDOW`` tokens (or all of a shorter item's), at least half of them words.
-
-    Null and empty texts have no tokens and match nothing, on either side; items of fewer than ``MIN_ITEM_TOKENS`` tokens or
-    without a window of enough words match nothing. Null ids are kept as ids. Rows equal in id and text are one document.
+    all tokens of a shorter one; ``exact`` says that all slots hold the item's own values, or that all tokens are the item's
+    apart from letter case. An alignment with a clash of slots counts by its longest run without one, from ``RUN_TOKENS``
+    tokens. Windows of plain tokens count like those with placeholders, each kind for itself. Items of one template and
+    equal slots are one item, with the smallest id; with other slots each is judged by its own. Windows have ``WINDOW`` tokens (or all of a shorter item's), those with placeholders at least half
+    of them words.
+
+    Null and empty texts have no tokens and match nothing, on either side; items of fewer than ``MIN_ITEM_TOKENS`` tokens
+    match nothing. Null ids are kept as ids. Rows equal in id and text are one document.
     Empty tables give no rows. Other columns are not read.
 
     Windows of documents are looked up in the benchmark's keys before they leave their task while there are at most
@@ -232,7 +248,7 @@ def contaminated_pairs(
         bench.join(leads, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")))
         .select(
             F.col("doc_id").alias("item_id"), F.col("_th").alias("_ith"), F.col("n_tokens").alias("item_tokens"), F.col("place").alias("_ip"),
-            "key", "size", F.col("slots").alias("_is"),
+            "key", "size", "plain", F.col("slots").alias("_is"),
         )
         .distinct()
     )
@@ -244,49 +260,41 @@ def contaminated_pairs(
         wanted = np.sort(keys.select("key").toArrow().column("key").to_numpy().view(np.uint64))
     if not sizes:
         sizes = [WINDOW]
-    hits = _named(docs, id_column, text_column).mapInArrow(_hits(sizes, wanted), HIT_SCHEMA).drop("n_tokens")
+    hits = _named(docs, id_column, text_column).mapInArrow(_hits(sizes, wanted), HIT_SCHEMA).drop("n_tokens", "plain")
     met = hits.join(small_side(chosen), ["key", "size"])
     slots = F.transform(
         F.arrays_zip("at", "_is", "slots"), lambda z: F.struct((z["at"] + F.col("_ip")).alias("p"), z["_is"].alias("i"), z["slots"].alias("d"))
     )
-    lined = met.groupBy("doc_id", "_th", "item_id", "_ith", "item_tokens", (F.col("place") - F.col("_ip")).alias("_line")).agg(
+    lined = met.groupBy("doc_id", "_th", "item_id", "_ith", "item_tokens", "plain", (F.col("place") - F.col("_ip")).alias("_line")).agg(
         F.array_sort(F.collect_set("_ip")).alias("_places"),
-        F.array_sort(F.collect_set(F.when(F.col("_is") == F.col("slots"), F.col("_ip")))).alias("_same"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("_pairs"),
         F.max("size").alias("_size"),
         F.min("place").alias("first_token"),
     )
 
-    def covered(places: str) -> Column:
-        return F.aggregate(
-            places,
-            F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("end")),
-            lambda s, p: F.struct(
-                (s["covered"] + p + F.col("_size") - F.greatest(s["end"], p)).alias("covered"), (p + F.col("_size")).alias("end")
-            ),
-            lambda s: s["covered"],
-        )
-
+    covered = F.aggregate(
+        "_places",
+        F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("end")),
+        lambda s, p: F.struct(
+            (s["covered"] + p + F.col("_size") - F.greatest(s["end"], p)).alias("covered"), (p + F.col("_size")).alias("end")
+        ),
+        lambda s: s["covered"],
+    )
     values = F.array_distinct(F.transform("_pairs", lambda z: F.struct(z["i"], z["d"])))
     one = F.size(values) == F.size(F.array_distinct(F.transform("_pairs", lambda z: z["i"])))
+    own = F.when(F.col("plain"), F.col("matched_tokens") == F.col("item_tokens")).otherwise(F.forall("_pairs", lambda z: z["i"] == z["d"]))
+    least = F.least(F.col("item_tokens"), F.lit(MATCHED_TOKENS))
     judged = (
-        lined.withColumn("_consistent", one)
+        lined.withColumns({"_consistent": one, "matched_tokens": covered})
+        .withColumn("exact", own)
+        .where(F.col("matched_tokens") >= F.when(F.col("_consistent"), least).otherwise(RUN_TOKENS))
         .select(
-            "doc_id", "_th", "item_id", "item_tokens", "first_token", covered("_places").alias("_covered"), covered("_same").alias("_own"),
-            (F.col("_line") + F.get("_same", F.lit(0))).alias("_own_first"), F.forall("_pairs", lambda z: z["i"] == z["d"]).alias("exact"),
-            "_consistent", F.lit(0).alias("_run"), "_line", "_size",
+            "doc_id", "_th", "item_id", "item_tokens", "first_token", "matched_tokens", "exact", "_consistent", "_line", "_size",
             F.when(~F.col("_consistent"), F.col("_places")).alias("_places"), F.when(~F.col("_consistent"), F.col("_pairs")).alias("_pairs"),
         )
         .mapInArrow(_runs, JUDGED)
+        .where(F.col("_consistent") | (F.col("matched_tokens") >= RUN_TOKENS))
     )
-    least = F.least(F.col("item_tokens"), F.lit(MATCHED_TOKENS))
-    by_run = ~F.col("_consistent") & (F.col("_run") >= RUN_TOKENS)
-    by_own = ~F.col("_consistent") & ~by_run
-    judged = judged.select(
-        "doc_id", "_th", "item_id", "item_tokens", "exact",
-        F.when(by_own, F.col("_own_first")).otherwise(F.col("first_token")).alias("first_token"),
-        F.when(by_own, F.col("_own")).when(by_run, F.col("_run")).otherwise(F.col("_covered")).alias("matched_tokens"),
-    ).where(F.col("matched_tokens") >= least)
     best = F.max(F.struct("exact", "matched_tokens", -F.col("first_token"))).alias("_b")
     return (
         judged.groupBy("doc_id", "_th", "item_id", "item_tokens")

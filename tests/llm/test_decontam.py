@@ -103,3 +103,11 @@ def test_longest_run_by_brute_force():
                 if len(held) == len({i for i, _ in held}):
                     want = max(want, sum(a <= p < b for p in covered))
         assert longest_run(covered, pairs)[0] == want
+
+
+def test_copies_in_another_letter_case(spark, documents):
+    named = "Zoë Éva Tom Anna Ben Maria Peter met Carl Dora Emil Fritz Gerda in Rome Paris Oslo Bonn Kiel"
+    items = spark.createDataFrame([(1, QUESTION, "x"), (2, named, "x")], ITEMS)
+    rows = [(i, f"{words(i, 20)} {text}") for i, text in enumerate([QUESTION.lower(), QUESTION.upper(), named.lower(), named.upper(), named, named.title()], 10)]
+    got = {(r.doc_id, r.item_id): (r.matched_tokens == r.item_tokens, r.exact) for r in contaminated_pairs(documents(rows), items).collect()}
+    assert got == {(d, 1 if d < 12 else 2): (True, True) for d, _ in rows}
