@@ -19,6 +19,7 @@ from riskframe.llm.common import small_side, text_hash, unused, written
 from riskframe.llm.textvec import MARKS, blocks, byte_table, find_words, mix
 
 MIN_WORDS = 6
+MIN_LINE_WORDS = 1
 
 _TABLE = byte_table(MARKS)
 _BASES = np.array([0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25], np.uint64)
@@ -35,7 +36,7 @@ def _digest(hashes: np.ndarray, lengths: np.ndarray, base: np.uint64) -> np.ndar
     return mix(np.add.reduceat(mix(hashes ^ base) * weights[place], begin) + lengths.astype(np.uint64))
 
 
-def find_units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+def find_units(data: np.ndarray, offsets: np.ndarray, min_words: int, min_line_words: int) -> tuple[np.ndarray, ...]:
     """(text, start, end, words, d1, d2) of the block's units; offsets count characters of the text. A unit reaches to where
     the next one of its kind begins, the last of a text to its end."""
     words = find_words(data, offsets, _TABLE)
@@ -64,23 +65,24 @@ def find_units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[n
     parts = []
     lines, sentences = np.flatnonzero(line), np.flatnonzero(sentence)
     per_line = np.diff(np.concatenate([np.searchsorted(sentences, lines), [len(sentences)]]))
-    for first, keep in ((sentences, np.ones(len(sentences), bool)), (lines, per_line > 1)):
+    whole = np.repeat(per_line == 1, per_line)  # the only sentence of its line
+    for first, keep, least in ((sentences, ~whole, min_words), (lines, per_line > 0, min_line_words)):
         last = np.concatenate([first[1:], [n]])
         lengths = last - first
         own = text[first]
         ends = np.where((last < n) & (text[np.minimum(last, n - 1)] == own), words.start[np.minimum(last, n - 1)], offsets[own + 1])
         d1, d2 = (_digest(words.hash, lengths, base) for base in _BASES)
-        keep = keep & (lengths >= min_words)
+        keep = keep & (lengths >= least)
         base = char[offsets[own]]
         parts.append(tuple(x[keep] for x in (own, char[words.start[first]] - base, char[ends] - base, lengths, d1, d2)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _units(min_words: int):
+def _units(min_words: int, min_line_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in blocks(batch.column("_text")):
-                text, start, end, n, d1, d2 = find_units(data, offsets, min_words)
+                text, start, end, n, d1, d2 = find_units(data, offsets, min_words, min_line_words)
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -96,15 +98,17 @@ def _units(min_words: int):
     return run
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_units(
+    docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text", min_line_words: int | None = None
+) -> DataFrame:
     """One row per unit to cut: doc_id, _th, start, end (characters of the original text), n_words, kept_doc_id, kept_start.
 
-    Units of fewer than ``min_words`` words stay. Null, empty and wordless texts have no units. A null id ranks behind all
+    Sentences of fewer than ``min_words`` words and lines of fewer than ``min_line_words`` (``min_words`` if None) stay. Null, empty and wordless texts have no units. A null id ranks behind all
     ids. Rows equal in id and text are one document: its units are no repeats of themselves, and each row lists the same
     cuts. An empty table gives no rows. Other columns are not read.
     """
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_hash(text_column).alias("_th"), F.col(text_column).alias("_text"))
-    units = written(named.mapInArrow(_units(min_words), UNIT_SCHEMA))
+    units = written(named.mapInArrow(_units(min_words, min_words if min_line_words is None else min_line_words), UNIT_SCHEMA))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "start")
     firsts = written(
         units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_first")).where("_n > 1").drop("_n")
@@ -137,11 +141,13 @@ def _cut(text_column: str, cuts_name: str):
     return run
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text", min_line_words: int | None = None
+) -> DataFrame:
     """The documents, all columns kept, with the repeated units cut from their texts. A text of repeats only becomes empty."""
     id_name, hash_name, cuts_name = (unused(docs, x) for x in ("_cut_id", "_cut_th", "_cuts"))
     cuts = (
-        repeated_units(docs, min_words, id_column, text_column)
+        repeated_units(docs, min_words, id_column, text_column, min_line_words)
         .groupBy("doc_id", "_th")
         .agg(F.collect_set(F.struct("start", "end")).alias(cuts_name))
         .select(F.col("doc_id").alias(id_name), F.col("_th").alias(hash_name), cuts_name)

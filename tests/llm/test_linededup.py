@@ -76,3 +76,12 @@ def test_repeated_rows_and_null_ids(documents):
     [row] = repeated_units(documents([(None, ONE), (1, ONE)])).collect()
     assert (row.doc_id, row.kept_doc_id) == (None, 1)
     assert repeated_units(documents(ROWS).where("false")).count() == 0
+
+
+def test_short_whole_lines(documents):
+    frame = documents([(1, "All rights reserved.\nOne\nanything else"), (2, "text. Yes sir. And\nall rights reserved\nOne"), (3, "a text. Yes sir. Then")])
+    got = repeated_units(frame, min_line_words=1).collect()
+    assert sorted((r.doc_id, r.n_words, r.kept_doc_id) for r in got) == [(2, 1, 1), (2, 3, 1)]
+    texts = {r.doc_id: r.text for r in without_repeats(frame, min_line_words=1).collect()}
+    assert texts[2] == "text. Yes sir. And\n" and texts[3] == "a text. Yes sir. Then"
+    assert repeated_units(frame).count() == 0
