@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeats; ``n_chars`` follows the text."""
-    cut = without_repeats(docs, min_line_words=MIN_LINE_WORDS)
+    cut = without_repeats(docs, min_line_words=MIN_LINE_WORDS, runs=True)
     counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.withColumn("n_chars", counted)
 

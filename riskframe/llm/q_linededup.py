@@ -11,4 +11,4 @@ from riskframe.llm.registry import query
 
 @query("op1_repeated_lines")
 def op1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(read_table(spark, sf_dir, "documents"), min_line_words=MIN_LINE_WORDS).drop("_th")
+    return repeated_units(read_table(spark, sf_dir, "documents"), min_line_words=MIN_LINE_WORDS, runs=True).drop("_th")

@@ -85,3 +85,40 @@ def test_short_whole_lines(documents):
     texts = {r.doc_id: r.text for r in without_repeats(frame, min_line_words=1).collect()}
     assert texts[2] == "text. Yes sir. And\n" and texts[3] == "a text. Yes sir. Then"
     assert repeated_units(frame).count() == 0
+
+
+PASSAGE = "Der Mann ging mit dem Hund in den Wald, weil das Wetter am Morgen sehr schön war. Ja. Dort sah Anna Berg den alten Baum und die Bank. Gut so. "
+
+
+def test_passages_of_short_units(documents):
+    texts = {1: f"heute früh. {PASSAGE}Alles war still", 2: f"Gestern sagte jemand laut. {PASSAGE}Niemand hat es geglaubt"}
+    frame = documents(list(texts.items()))
+    got = {r.doc_id: r.text for r in without_repeats(frame, runs=True).collect()}
+    assert got == {1: texts[1], 2: "Gestern sagte jemand laut. Niemand hat es geglaubt"}
+    assert all(r.n_words >= 6 for r in repeated_units(frame, runs=True).collect())
+
+
+def test_runs_by_brute_force():
+    from riskframe.llm.linededup import find_units
+    from riskframe.llm.textvec import text_bytes
+    import pyarrow as pa
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["Ab ", "ab ", "é ", "Éa ", "ab. ", "ab\n"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    want = set()
+    for row, text in enumerate(texts):
+        kept, parts = units(text, 1), {}
+        words = [m for m in WORD.finditer(text)]
+        for line_start, line_end in ((m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)):
+            inside = [m for m in words if line_start <= m.start() < line_end]
+            cuts = [i for i, m in enumerate(inside) if not i or m.group()[0] in "É" or m.group() == "Ab" or "." in text[inside[i - 1].end() : m.start()]]
+            spans = list(zip(cuts, [*cuts, len(inside)][1:]))
+            runs = set()
+            for i, (a, b) in enumerate(spans):
+                if b - a < 6:
+                    runs |= set([(a, e) for _, e in spans[i:] if e - a >= 6][:1]) | set([(s, b) for s, _ in spans[: i + 1] if b - s >= 6][-1:])
+            want |= {(row, inside[a].start(), b - a) for a, b in runs if (a, b) != (0, len(inside))}
+    data, offsets = text_bytes(pa.array(texts))
+    plain, joined = (list(zip(*(x.tolist() for x in find_units(data, offsets, 6, 6, runs)))) for runs in (False, True))
+    assert {(t, s, n) for t, s, _, n, *_ in joined[len(plain) :]} == want and joined[: len(plain)] == plain
