@@ -3,7 +3,7 @@
 A rule is a regular expression over a text's words (letters and digits, A-Z in lower case, joined by one space), with a
 priority and a confidence. Rules are written as license names times the forms in which a license is declared: an SPDX tag,
 a canonical address, a grant ("licensed under ..."), a title ("... license") and a metadata field. A rule runs only where
-the text has all its keywords, which is found by one hash lookup a word. Detections are resolved in order of priority:
+the text has one of each of its sets of keywords, which is found by one hash lookup a word. Detections are resolved in order of priority:
 one that lies within a kept one of the same or higher priority is suppressed.
 """
 
@@ -28,7 +28,7 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# label, keyword, the name as words, SPDX id as words, address as words. None where a form doesn't exist.
+# label, keywords (any of them), the name as words, SPDX id as words, address as words. None where a form doesn't exist.
 LICENSES = [
     ("mit", "mit", r"mit(?: expat)?", r"mit", r"opensource org licenses mit"),
     ("apache-1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1(?: [01])?", r"apache 1 [01]", r"apache org licenses license 1 [01]"),
@@ -36,25 +36,25 @@ LICENSES = [
     ("gpl-1", "general", r"gnu general public license(?: version)? 1(?: 0)?", None, None),
     ("gpl-2", "general", r"gnu general public license(?: version)? 2(?: 0)?", None, r"gnu org licenses old licenses gpl 2 0"),
     ("gpl-3", "general", r"gnu general public license(?: version)? 3(?: 0)?", None, r"gnu org licenses gpl 3 0"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version)? v?2(?: 0)?", r"gpl 2 0(?: only| or later)?", None),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version)? v?3(?: 0)?", r"gpl 3 0(?: only| or later)?", None),
+    ("gpl-2", "gpl gplv2 gpl2", r"(?:gnu )?gpl(?:(?: version)? )?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?", None),
+    ("gpl-3", "gpl gplv3 gpl3", r"(?:gnu )?gpl(?:(?: version)? )?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?", None),
     ("lgpl-2", "lesser", r"gnu lesser general public license(?: version)? 2(?: [01])?", None, None),
     ("lgpl-3", "lesser", r"gnu lesser general public license(?: version)? 3(?: 0)?", None, None),
-    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version)? v?2(?: [01])?", r"lgpl 2 [01](?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version)? v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
+    ("lgpl-2", "lgpl lgplv2 lgpl2", r"(?:gnu )?lgpl(?:(?: version)? )?v?2(?: [01])?", r"lgpl 2 [01](?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3", "lgpl lgplv3 lgpl3", r"(?:gnu )?lgpl(?:(?: version)? )?v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("agpl-3", "affero", r"gnu affero general public license(?: version)? 3(?: 0)?", None, None),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version)? v?3(?: 0)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
+    ("agpl-3", "agpl agplv3 agpl3", r"(?:gnu )?agpl(?:(?: version)? )?v?3(?: 0)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
     ("fdl-1", "documentation", r"gnu free documentation license(?: version)? 1(?: [123])?", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl(?: 1 [123])?"),
-    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
+    ("bsd-2", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)", r"bsd 3 clause", r"opensource org licenses bsd 3 clause"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause", None),
-    ("bsd-0", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd", r"opensource org licenses 0bsd"),
+    ("bsd-0", "bsd 0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd", r"opensource org licenses 0bsd"),
     ("mpl-1", "mozilla", r"mozilla public license(?: version)? 1(?: [01])?", None, r"mozilla org mpl 1 [01]"),
     ("mpl-2", "mozilla", r"mozilla public license(?: version)? 2(?: 0)?", None, r"mozilla org mpl 2 0"),
-    ("mpl-2", "mpl", r"mpl(?: version)? v?2(?: 0)?", r"mpl 2 0", None),
+    ("mpl-2", "mpl mplv2 mpl2", r"mpl(?:(?: version)? )?v?2(?: 0)?", r"mpl 2 0", None),
     ("epl-1", "eclipse", r"eclipse public license(?: version)? v?1(?: 0)?", None, r"eclipse org legal epl v10"),
     ("epl-2", "eclipse", r"eclipse public license(?: version)? v?2(?: 0)?", None, r"eclipse org legal epl v20"),
-    ("cddl-1", "cddl", r"cddl(?: version)? v?1(?: [01])?", r"cddl 1 [01]", r"opensource org licenses cddl 1 0"),
+    ("cddl-1", "cddl cddlv1 cddl1", r"cddl(?:(?: version)? )?v?1(?: [01])?", r"cddl 1 [01]", r"opensource org licenses cddl 1 0"),
     ("isc", "isc", r"isc", r"isc", r"opensource org licenses isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", r"zlib net zlib license"),
     ("unlicense", "unlicense", r"unlicense", r"unlicense", r"unlicense org"),
@@ -62,11 +62,11 @@ LICENSES = [
     ("artistic-1", "artistic", r"artistic license(?: version)? 1(?: 0)?", r"artistic 1 0", r"opensource org licenses artistic 1 0"),
     ("artistic-2", "artistic", r"artistic license(?: version)? 2(?: 0)?", r"artistic 2 0", r"opensource org licenses artistic 2 0"),
     ("bsl-1", "boost", r"boost software license(?: version)?(?: 1(?: 0)?)?", r"bsl 1 0", r"boost org license 1 0"),
-    ("python-2", "python", r"(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?", r"python 2 0", r"python org psf license"),
+    ("python-2", "python psf", r"(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?", r"python 2 0", r"python org psf license"),
     ("ms-pl", "microsoft", r"microsoft public", r"ms pl", r"opensource org licenses ms pl"),
     ("ms-rl", "microsoft", r"microsoft reciprocal", r"ms rl", r"opensource org licenses ms rl"),
     ("ofl-1", "ofl", r"(?:sil )?ofl(?: version)?(?: 1(?: 1)?)?", r"ofl 1 1", r"scripts sil org ofl"),
-    ("eupl-1", "eupl", r"eupl(?: version)? v?1(?: [12])?", r"eupl 1 [12]", r"joinup ec europa eu software page eupl"),
+    ("eupl-1", "eupl euplv1 eupl1", r"eupl(?:(?: version)? )?v?1(?: [12])?", r"eupl 1 [12]", r"joinup ec europa eu software page eupl"),
     ("postgresql", "postgresql", r"postgresql", r"postgresql", r"opensource org licenses postgresql"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa", r"opensource org licenses ncsa"),
     ("cc0", "cc0", r"cc0(?: 1(?: 0)?)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
@@ -86,11 +86,14 @@ LICENSES = [
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keywords: frozenset[str]
+    keywords: tuple[frozenset[str], ...]  # one of each set is needed
     pattern: re.Pattern[bytes]
     priority: int
     confidence: float
 
+    def may_match(self, words: set[str]) -> bool:
+        return not any(k.isdisjoint(words) for k in self.keywords)
+
 
 # Forms in order of priority: what stands before the name, after it, the keywords, priority and confidence.
 NAME_FORMS = [
@@ -107,7 +110,7 @@ def _rules() -> list[Rule]:
 
     def add(label: str, words: tuple[str, ...], body: str, priority: int, confidence: float) -> None:
         pattern = re.compile(rb"(?<= )(?:" + body.encode() + rb")(?= )")
-        rules.append(Rule(label, frozenset(words), pattern, priority, confidence))
+        rules.append(Rule(label, tuple(frozenset(w.split()) for w in words), pattern, priority, confidence))
 
     for label, keyword, name, spdx, address in LICENSES:
         if spdx:
@@ -130,7 +133,7 @@ def _hashes(words: list[str]) -> np.ndarray:
     return find_words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), _TABLE).hash
 
 
-KEYWORDS = sorted({k for r in RULES for k in r.keywords})
+KEYWORDS = sorted({k for r in RULES for any_of in r.keywords for k in any_of})
 _KEY_HASHES = _hashes(KEYWORDS)
 _KEY_ORDER = np.argsort(_KEY_HASHES)
 _BASE = [(label, _hashes(phrase.split())) for phrase, label in BASE_PHRASES.items()]
@@ -169,7 +172,7 @@ def detections(plain: bytes, keywords: set[str]) -> list[tuple[int, int, str, fl
     found = []
     spaces = None
     for rule in RULES:
-        if rule.keywords <= keywords:
+        if rule.may_match(keywords):
             for m in rule.pattern.finditer(plain):
                 if spaces is None:
                     spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
@@ -230,7 +233,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans: list[list[dict]] = [[] for _ in range(rows)]
             scores, labels, base_labels = [0.0] * rows, [""] * rows, [""] * rows
             for row, keywords in keywords_of_texts(words).items():
-                if any(r.keywords <= keywords for r in RULES):
+                if any(r.may_match(keywords) for r in RULES):
                     plain = data[offsets[row] : offsets[row + 1]].tobytes().translate(_PLAIN)
                     for start, end, label, confidence in detections(b" " + b" ".join(plain.split()) + b" ", keywords):
                         spans[row].append({"first_word": start, "end_word": end, "label": label, "confidence": confidence})

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import product
 
 from riskframe.llm.licenses import BASE_PHRASES, RULES, resolve, scan_licenses
 
@@ -60,3 +61,39 @@ def test_containment_by_brute_force():
             if not any(k[1] <= d[1] and d[2] <= k[2] and (k[0], k[2] - k[1]) != (d[0], d[2] - d[1]) for k in kept):
                 kept.append(d)
         assert resolve(found) == sorted((s, e, label, c) for _, s, e, label, c in kept)
+
+
+def forms(parsed):
+    """The texts of a parsed pattern: all alternatives and optional parts, the first of each class, one of a repeat."""
+    parts = []
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])])
+        elif name == "MAX_REPEAT":
+            parts.append(([""] if value[0] == 0 else []) + forms(value[2]))
+        elif name == "SUBPATTERN":
+            parts.append(forms(value[3]))
+        elif name == "BRANCH":
+            parts.append([x for one in value[1] for x in forms(one)])
+        else:
+            assert name == "ASSERT", name
+            parts.append([""])
+    return ["".join(x) for x in product(*parts)]
+
+
+def test_every_alternative_passes_the_gate():
+    for rule in RULES:
+        for text in forms(re._parser.parse(rule.pattern.pattern.decode())):
+            assert rule.pattern.search(f" {text} ".encode()) and rule.may_match(set(text.split())), (rule.label, text)
+
+
+def test_names_in_one_word(documents):
+    texts = {
+        "FreeBSD license": "bsd-2", "0BSD license": "bsd-0", "PSF license": "python-2", "GPLv2": "gpl-2", "GNU GPLv3+": "gpl-3", "GPL3": "gpl-3",
+        "LGPLv2.1": "lgpl-2", "LGPLv3": "lgpl-3", "AGPLv3": "agpl-3", "MPLv2.0": "mpl-2", "EUPLv1.2": "eupl-1", "GPL version 2": "gpl-2", "GPLv23": "",
+    }
+    got = {r.doc_id: r.labels for r in scan_licenses(documents([(i, f"so {t}, as said") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
