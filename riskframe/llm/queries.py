@@ -10,6 +10,7 @@ from riskframe.llm import (  # noqa: F401
     q_neardup,
     q_pieces,
     q_quality,
+    q_rolefix,
     q_sharding,
     q_warc,
 )
