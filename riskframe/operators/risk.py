@@ -103,6 +103,7 @@ def finding_risks(findings: DataFrame, correlations: DataFrame | None = None, me
         findings.where((F.col("status") == "verified") & (F.col("severity") != "info"))
         .withColumn("impact_value", impact())
         .withColumn("exploitability_value", exploitability())
+        .join(duplicates_of_verified(findings), ["repo_id", "finding_id"], "left_anti")
     )
     if correlations is None:
         return with_score(scored.withColumn("multiplier", F.lit(1.0)).withColumn("via", F.lit(None).cast("string")))
@@ -117,9 +118,8 @@ def finding_risks(findings: DataFrame, correlations: DataFrame | None = None, me
             F.min_by("signature", F.struct(-F.col("risk_multiplier"), F.col("signature"))).alias("via"),
         )
     )
-    kept = scored.join(duplicates_of_verified(findings), ["repo_id", "finding_id"], "left_anti")
     return with_score(
-        kept.join(best, ["repo_id", "finding_id"], "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
+        scored.join(best, ["repo_id", "finding_id"], "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
     )
 
 

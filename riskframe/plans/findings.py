@@ -52,10 +52,17 @@ RISK_SQL = (
     CAST(CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25
       ELSE 0.05 END AS DOUBLE) AS weight
   FROM scored),
+verified_spots AS (
+  SELECT DISTINCT repo_id, category, agent, created_at, finding_id, affected_file, affected_line
+  FROM (SELECT *, unnest(lines) AS affected_line FROM (SELECT *, unnest(affected_files) AS affected_file FROM scored WHERE status = 'verified'))),
+twins AS (
+  SELECT DISTINCT b.finding_id FROM verified_spots b JOIN verified_spots a ON a.repo_id = b.repo_id AND a.category = b.category
+    AND a.affected_file = b.affected_file AND a.affected_line = b.affected_line AND a.agent <> b.agent
+    AND (a.created_at < b.created_at OR (a.created_at = b.created_at AND a.finding_id < b.finding_id))),
 risks AS (
   SELECT repo_id, finding_id, severity, confidence, impact_value, exploitability_value,
     round(100 * (1 - exp(-2.2e0 * weight * confidence * impact_value * exploitability_value)) + 1e-10, 1) AS score
-  FROM factors WHERE status = 'verified' AND severity <> 'info')"""
+  FROM factors WHERE status = 'verified' AND severity <> 'info' AND finding_id NOT IN (SELECT finding_id FROM twins))"""
 )
 
 
