@@ -154,6 +154,19 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(ca != cb).drop("_ca", "_cb")
 
 
+def _shared_halves(classes: DataFrame) -> DataFrame:
+    """``(node, first, second)``: a class's half keys that another class has as well, of classes with such in both collections.
+
+    Two classes share a table's key only if they share both of its halves, so no key that anybody shares is lost, and only
+    kept halves are multiplied. A half key's number is mixed into it; its side keeps the collections apart."""
+    sided = F.transform(F.flatten(F.array("first", "second")), lambda half, i: F.struct((i >= HALVES).alias("side"), half.alias("half")))
+    held = classes.select("node", F.inline(sided))
+    shared = held.groupBy("side", "half").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("side", "half")
+    kept = held.join(shared, ["side", "half"], "left_semi").groupBy("node")
+    both = kept.agg(*[F.collect_list(F.when(F.col("side") == side, F.col("half"))).alias(name) for name, side in (("first", False), ("second", True))])
+    return written(both.where((F.size("first") > 0) & (F.size("second") > 0)))
+
+
 def _near_sizes(n_a: str, n_b: str, percent: int):
     """Sets so different in size can't be similar enough."""
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
@@ -191,8 +204,9 @@ def near_duplicates(
         )
         .select(F.monotonically_increasing_id().alias("node"), "*")
     )
+    halves = _shared_halves(classes)
     keys = (
-        classes.select("node", F.explode("first").alias("_a"), "second")
+        halves.select("node", F.explode("first").alias("_a"), "second")
         .select("node", "_a", F.explode("second").alias("_b"))
         .select("node", F.xxhash64("_a", "_b").alias("key"))
     )

@@ -12,6 +12,7 @@ from riskframe.llm import (  # noqa: F401
     q_quality,
     q_rolefix,
     q_sharding,
+    q_toxicity,
     q_warc,
 )
 from riskframe.llm.registry import ORACLES, QUERIES
