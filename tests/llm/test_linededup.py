@@ -7,7 +7,7 @@ from .conftest import LOW
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def units(text, least):
+def units(text, least, least_line=None, runs=False):
     """(start, end, words, content) of a text's units, by plain scanning."""
     words = list(WORD.finditer(text or ""))
     lines, sentences = [], []
@@ -19,19 +19,30 @@ def units(text, least):
             lines.append(i)
         if not i or "\n" in gap or capital or (re.search(r"[.!?]", gap) and re.search(r"[ \t\r]", gap)):
             sentences.append(i)
+    spans = set()
+    for first, last in zip(lines, [*lines, len(words)][1:], strict=True):
+        inside = [s for s in sentences if first <= s < last]
+        own = list(zip(inside, [*inside, last][1:], strict=True))
+        if last - first >= (least if least_line is None else least_line):
+            spans.add((first, last))
+        if len(own) > 1:
+            spans |= {(s, e) for s, e in own if e - s >= least}
+        for i, (s, e) in enumerate(own if runs else []):
+            if e - s < least:
+                ahead = [(s, x) for _, x in own[i:] if x - s >= least][:1]
+                back = [(x, e) for x, _ in own[: i + 1] if e - x >= least][-1:]
+                spans |= {span for span in ahead + back if span != (first, last)}
     out = []
-    for starts, several in ((sentences, False), (lines, True)):
-        for first, last in zip(starts, [*starts, len(words)][1:], strict=True):
-            if last - first >= least and (not several or sum(first <= s < last for s in sentences) > 1):
-                end = words[last].start() if last < len(words) else len(text)
-                out.append((words[first].start(), end, last - first, " ".join(m.group().translate(LOW) for m in words[first:last])))
+    for first, last in spans:
+        end = words[last].start() if last < len(words) else len(text)
+        out.append((words[first].start(), end, last - first, " ".join(m.group().translate(LOW) for m in words[first:last])))
     return sorted(out)
 
 
-def expected(rows, least):
+def expected(rows, least, least_line=None, runs=False):
     first, cuts = {}, []
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        for start, end, n, content in units(text, least):
+        for start, end, n, content in units(text, least, least_line, runs):
             if content in first:
                 cuts.append((doc_id, start, end, n, *first[content]))
             else:
