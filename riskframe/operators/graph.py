@@ -14,6 +14,7 @@ from riskframe.functions.paths import is_test_path
 from riskframe.session import cut_lineage, stage
 
 MERGE_EVERY = 8
+HOPS = 8
 REACH_ORDER = {"entrypoint": 0, "reachable": 1, "test_only": 2, "unreferenced": 3, "n/a": 4}
 
 
@@ -41,23 +42,23 @@ def spread(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: l
 def spread_best(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: list[str]) -> DataFrame:
     """The highest rank each node receives along edges: ``(keys…, source, rank)``.
 
-    Like ``spread`` for labels that are ordered: a node passes on only a rank above all it had before.
+    A node passes on only a rank above all it had before. Each round follows ``HOPS`` edges in one job, keeping the best
+    rank per node on each, before it compares with what is known; a graph of n levels takes n / HOPS rounds. ``known`` has one row
+    per node, replaced when its rank rises, so nothing known is aggregated again.
     """
     node = [*keys, source]
     links = stage(edges.select(*node, target).where(F.col(source) != F.col(target)).distinct())
     known = frontier = stage(seeds.groupBy(*node).agg(F.max("rank").alias("rank")))
-    rounds = 0
     while not frontier.isEmpty():
-        moved = frontier.join(links, node).drop(source).withColumnRenamed(target, source)
-        offered = moved.groupBy(*node).agg(F.max("rank").alias("rank"))
-        held = known.groupBy(*node).agg(F.max("rank").alias("_held"))
-        better = offered.join(held, node, "left").where(F.col("_held").isNull() | (F.col("rank") > F.col("_held")))
-        frontier = stage(better.select(*node, "rank"))
-        known = known.unionByName(frontier)
-        rounds += 1
-        if rounds % MERGE_EVERY == 0:
-            known = stage(known.groupBy(*node).agg(F.max("rank").alias("rank")))
-    return known.groupBy(*node).agg(F.max("rank").alias("rank"))
+        hop, hops = frontier, None
+        for _ in range(HOPS):
+            hop = hop.join(links, node).groupBy(*keys, F.col(target).alias(source)).agg(F.max("rank").alias("rank"))
+            hops = hop if hops is None else hops.unionByName(hop)
+        held = known.withColumnRenamed("rank", "_held")
+        offered = hops.groupBy(*node).agg(F.max("rank").alias("rank"))
+        frontier = stage(offered.join(held, node, "left").where(F.col("_held").isNull() | (F.col("rank") > F.col("_held"))).drop("_held"))
+        known = stage(known.join(frontier, node, "left_anti").unionByName(frontier))
+    return known
 
 
 def transitive_importers(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -222,48 +223,56 @@ def inherited_members(classes: DataFrame, members: DataFrame, vanished: DataFram
     )
 
 
+def _doublings(pairs: DataFrame, node: str, keys: list[str]) -> int:
+    """Rounds after which no path without a circle is longer than the pairs doubled so often."""
+    return max(1, pairs.select(*keys, node).distinct().count()).bit_length()
+
+
 def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
     """Resolve re-exported names to the symbols behind them: ``library, name, target``.
 
-    ``aliases(library, name, source)``, ``symbols(library, name)``. Each step is staged and holds only what is not resolved
-    and was not met before, so names that lead round in a circle end as well.
+    ``aliases(library, name, source)``, ``symbols(library, name)``. Pointers are doubled: a name that still points at an alias
+    takes over where that one points to, so chains of n steps take log2(n) rounds. Names that only lead round in a circle are
+    still open after as many rounds as the longest possible chain needs, and have no target.
     """
     real = symbols.select("library", F.col("name").alias("at")).distinct()
-    step = stage(aliases.select("library", F.col("name").alias("at"), F.col("source").alias("next")).distinct())
-    pending = step.select("library", F.col("at").alias("name"), F.col("next").alias("at"))
-    done, met = None, pending
-    while True:
-        arrived = pending.join(real, ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target"))
-        done = arrived if done is None else done.unionByName(arrived)
-        pending = stage(
-            pending.join(real, ["library", "at"], "left_anti")
-            .join(step, ["library", "at"])
-            .select("library", "name", F.col("next").alias("at"))
-            .distinct()
-            .join(met, ["library", "name", "at"], "left_anti")
-        )
+    step = stage(aliases.select("library", "name", F.col("source").alias("at")).distinct())
+    done = stage(step.join(real, ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target")))
+    pending = stage(step.join(real, ["library", "at"], "left_anti").select("library", "name", "at"))
+    for _ in range(_doublings(step, "name", ["library"])):
         if pending.isEmpty():
-            return done.distinct()
-        met = met.unionByName(pending)
+            break
+        known = done.select("library", F.col("name").alias("at"), "target")
+        done = stage(done.unionByName(pending.join(known, ["library", "at"]).select("library", "name", "target")).distinct())
+        onward = pending.select("library", F.col("name").alias("at"), F.col("at").alias("_on"))
+        pending = stage(pending.join(onward, ["library", "at"]).select("library", "name", F.col("_on").alias("at")).distinct())
+    return done
 
 
 def propagate_contracts(rules: DataFrame, delegates: DataFrame) -> DataFrame:
-    """Rules on a callee's parameter hold for callers that forward their own argument to it; the first message stays.
+    """Rules on a callee's parameter hold for callers that forward their own argument to it; the nearest message stays, of several the least.
 
-    ``rules(library, name, param, kind, message)``, ``delegates(library, caller, callee, param, callee_param)``.
+    ``rules(library, name, param, kind, message)``, ``delegates(library, caller, callee, param, callee_param)``. A forwarded
+    parameter is a node, renamed on each step; steps are doubled, so a chain of n callers takes log2(n) rounds, and each
+    rule carries how far away it was stated. Callers that forward to each other in a circle end with the rounds.
     """
-    current = rules
-    forward = delegates.where(F.col("caller") != F.col("callee")).select(
-        "library", F.col("caller"), F.col("callee").alias("name"), F.col("param").alias("_mine"), F.col("callee_param").alias("param")
+    node = ["library", "name", "param"]
+    steps = stage(
+        delegates.where(F.col("caller") != F.col("callee"))
+        .select("library", F.col("caller").alias("name"), "param", F.col("callee").alias("_name"), F.col("callee_param").alias("_param"))
+        .distinct()
     )
-    while True:
-        inherited = stage(
-            current.join(forward, ["library", "name", "param"])
-            .select("library", F.col("caller").alias("name"), F.col("_mine").alias("param"), "kind", "message")
-            .groupBy("library", "name", "param", "kind")
-            .agg(F.min("message").alias("message"))
-            .join(current, ["library", "name", "param", "kind"], "left_anti")
-        )
-        if inherited.isEmpty():
-            return current
-        current = current.unionByName(inherited)
+    held = stage(rules.select(*node, "kind", "message", F.lit(0).cast("long").alias("_far")))
+    stated = held
+    for round_ in range(_doublings(steps, "name", ["library", "param"])):
+        if steps.isEmpty():
+            break
+        behind = held.select("library", F.col("name").alias("_name"), F.col("param").alias("_param"), "kind", "message", "_far")
+        over = steps.join(behind, ["library", "_name", "_param"]).select(*node, "kind", "message", (F.col("_far") + (1 << round_)).alias("_far"))
+        nearest = F.min(F.struct("_far", "message")).alias("_best")
+        inherited = over.unionByName(held.where("_far > 0")).groupBy(*node, "kind").agg(nearest)
+        kept = inherited.select(*node, "kind", "_best.message", "_best._far").join(stated, [*node, "kind"], "left_anti")
+        held = stage(stated.unionByName(kept))
+        onward = steps.select("library", F.col("name").alias("_name"), F.col("param").alias("_param"), F.col("_name").alias("_n"), F.col("_param").alias("_p"))
+        steps = stage(steps.join(onward, ["library", "_name", "_param"]).select(*node, F.col("_n").alias("_name"), F.col("_p").alias("_param")).distinct())
+    return held.drop("_far")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import versions
 from riskframe.operators import deps, graph
-from riskframe.plans.registry import query
+from riskframe.plans.registry import ORACLES, query
 from riskframe.sources import manifests, snapshots
 from riskframe.sources.adapters import adapt, table
 
@@ -245,3 +245,83 @@ def version_tags(spark, sf_dir):
         .distinct()
     )
     return manifests.tag_of_version(wanted, tags)
+
+
+REACH_CASE = "CASE {x} WHEN 'entrypoint' THEN 0 WHEN 'reachable' THEN 1 WHEN 'test_only' THEN 2 WHEN 'unreferenced' THEN 3 ELSE 4 END"
+
+
+@query(
+    "dependency_reach",
+    ORACLES["reachability"].replace(
+        "SELECT n.repo_id, n.path, CASE",
+        "uses AS (SELECT DISTINCT l_suppkey % 20 AS repo_id, 'lib' || (l_partkey % 50) AS package, " + MODULE_SQL.format(p="l_partkey") + " AS path FROM lineitem), found AS (SELECT n.repo_id, n.path, CASE",
+    ).replace("GROUP BY ALL)\n    uses AS", "GROUP BY ALL),\n    uses AS")
+    + f") SELECT repo_id, package, arg_min(reach, {REACH_CASE.format(x='reach')}) AS reach FROM uses JOIN found USING (repo_id, path) GROUP BY repo_id, package",
+)
+def dependency_reach(spark, sf_dir):
+    edges = import_edges(spark, sf_dir)
+    nodes = nodes_of(edges)
+    reach = graph.reach_of_files(nodes, edges, nodes.where(F.contains("path", F.lit("/api/"))))
+    uses = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey % 20 AS repo_id", "concat('lib', l_partkey % 50) AS package", f"{MODULE_SQL.format(p='l_partkey')} AS path"
+    ).distinct()
+    return graph.best_reach(uses, reach, ["repo_id", "package"])
+
+
+# Names form chains of 100 by key: n1 re-exports n0 of its library, and so on; in every fifth library the chain is a circle.
+CHAIN_SQL = """names AS (SELECT 'lib' || (p_partkey // 100) AS library, p_partkey // 100 AS l, p_partkey % 100 AS k FROM part),
+  aliases AS (SELECT library, 'n' || k AS name, 'n' || (k - 1) AS source FROM names WHERE k > 0
+    UNION ALL SELECT library, 'n0', 'n' || max(k) FROM names WHERE l % 5 = 4 GROUP BY library
+    UNION ALL SELECT library, 'also' || k, 'n' || k FROM names WHERE k % 10 = 0),
+  symbols AS (SELECT library, 'n' || k AS name FROM names WHERE (k = 0 AND l % 5 <> 4) OR (k = 50 AND l % 3 = 0))"""
+
+
+def chains(spark, sf_dir):
+    key = F.col("p_partkey")
+    names = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("lib"), F.floor(key / 100).cast("string")).alias("library"), F.floor(key / 100).alias("l"), (key % 100).alias("k")
+    )
+    name = lambda head, k: F.concat(F.lit(head), k.cast("string"))
+    k = F.col("k")
+    aliases = (
+        names.where("k > 0")
+        .select("library", name("n", k).alias("name"), name("n", k - 1).alias("source"))
+        .unionByName(names.where("l % 5 = 4").groupBy("library").agg(F.lit("n0").alias("name"), name("n", F.max("k")).alias("source")))
+        .unionByName(names.where("k % 10 = 0").select("library", name("also", k).alias("name"), name("n", k).alias("source")))
+    )
+    symbols = names.where("(k = 0 AND l % 5 <> 4) OR (k = 50 AND l % 3 = 0)").select("library", name("n", k).alias("name"))
+    return aliases, symbols
+
+
+@query(
+    "resolved_reexports",
+    f"""WITH RECURSIVE {CHAIN_SQL}, walk(library, name, here) AS (
+      SELECT library, name, source FROM aliases
+      UNION SELECT w.library, w.name, a.source FROM walk w JOIN aliases a ON a.library = w.library AND a.name = w.here
+        WHERE (w.library, w.here) NOT IN (SELECT library, name FROM symbols))
+    SELECT library, name, here AS target FROM walk WHERE (library, here) IN (SELECT library, name FROM symbols)""",
+)
+def resolved_reexports(spark, sf_dir):
+    return graph.follow_aliases(*chains(spark, sf_dir))
+
+
+@query(
+    "propagated_contracts",
+    f"""WITH RECURSIVE {CHAIN_SQL}, rules AS (SELECT library, name, 'p' || substr(name, 2) AS param, 'deprecated' AS kind, 'since ' || name AS message FROM symbols),
+    delegates AS (SELECT library, name AS caller, source AS callee, 'p' || replace(replace(name, 'also', ''), 'n', '') AS param, 'p' || substr(source, 2) AS callee_param FROM aliases
+      WHERE name NOT LIKE 'also%' OR substr(name, 5)::INTEGER % 20 = 0),
+    walk(library, name, param, here, here_param, far) AS (
+      SELECT library, name, param, name, param, 0 FROM (SELECT library, name, param FROM rules UNION SELECT library, caller, param FROM delegates)
+      UNION SELECT w.library, w.name, w.param, d.callee, d.callee_param, far + 1 FROM walk w JOIN delegates d ON d.library = w.library AND d.caller = w.here AND d.param = w.here_param
+        WHERE far < 250 AND (w.library, w.here, w.here_param) NOT IN (SELECT library, name, param FROM rules))
+    SELECT w.library, w.name, w.param, r.kind, arg_min(r.message, (far, r.message)) AS message
+    FROM walk w JOIN rules r ON r.library = w.library AND r.name = w.here AND r.param = w.here_param GROUP BY w.library, w.name, w.param, r.kind""",
+)
+def propagated_contracts(spark, sf_dir):
+    aliases, symbols = chains(spark, sf_dir)
+    number = lambda c: F.regexp_replace(c, "[a-z]+", "p")
+    delegates = aliases.where("name NOT LIKE 'also%' OR cast(substr(name, 5) AS int) % 20 = 0").select(
+        "library", F.col("name").alias("caller"), F.col("source").alias("callee"), number("name").alias("param"), number("source").alias("callee_param")
+    )
+    rules = symbols.select("library", "name", number("name").alias("param"), F.lit("deprecated").alias("kind"), F.concat(F.lit("since "), "name").alias("message"))
+    return graph.propagate_contracts(rules, delegates)
