@@ -5,8 +5,8 @@ stand for letters within a word. What is left is words between single blanks, so
 
 The lexicon joins a short list of fixed insults with terms learned from labels: word beginnings of 3 to 10 letters and whole words whose
 mean share of a document's words is higher in toxic documents. A term's weight is the logarithm of the ratio of these
-shares. Counts cover all labelled documents; of nested terms with the same counts only the longest is looked at, and no kept
-term begins with another. Terms of a fixed list of harmless phrases don't count where the phrase stands.
+shares. Labels are learned from ``MAX_TRAIN_ROWS`` ids at most (a documented bound on training only), over whole texts; of
+nested terms with the same counts only the longest is looked at, and no kept term begins with another. Terms of a fixed list of harmless phrases don't count where the phrase stands.
 
 A document's hits, by weight, are divided by its length; a logistic regression on this density turns it into a probability.
 """
@@ -32,8 +32,8 @@ PREDICT_AT = 0.7
 SHORTEST, LONGEST = 3, 10
 #: A learned term stands in this share of toxic documents at least (and in three), with this log-likelihood ratio and weight.
 SUPPORT, LEAST_DOCS, EVIDENCE, LEAST_WEIGHT = 0.005, 3, 12.0, 1.0
-#: Labelled documents that the calibration is fitted on: those whose ids hash lowest.
-MAX_CALIBRATION_ROWS = 20_000
+#: Labelled ids that lexicon and calibration are fitted on: those that hash lowest.
+MAX_TRAIN_ROWS = 50_000
 PPM = 1_000_000
 SHORT_TEXT = 20
 SMOOTH_PPM = 40.0
@@ -287,20 +287,26 @@ def learnable(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_CALIBRATION_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """The lexicon and its calibration from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` of learnable ids.
 
     Of several labels of one id the mean counts (a half is toxic); each text of the id is a document. Candidates for the lexicon come from
     toxic documents; as each stands in ``SUPPORT`` of them at least, there are at most the mean number of a document's terms
-    divided by ``SUPPORT``, however many documents there are. The calibration is fitted on ``max_rows`` documents at most.
+    divided by ``SUPPORT``, however many documents there are. Of more than ``max_rows`` labelled ids those that hash lowest are
+    taken, which bounds the broadcast side of the join.
     """
     judged = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
         .agg((F.avg("toxic") >= 0.5).alias("_toxic"))
+        .where(learnable(F.col("_id")))
     )
-    named = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).where(learnable(F.col("_id")))
-    train = written(named.join(judged, "_id"))
+    # A cut by hash leaves little more than is wanted, and the exact limit then works on that.
+    share = min(1.0, 1.2 * max_rows / max(judged.count(), 1) + 1e-6)
+    low = F.xxhash64("_id") <= F.lit(int((1 << 63) * (2 * share - 1)) - 1)
+    chosen = judged.where(low).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    named = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    train = written(named.join(F.broadcast(chosen), "_id"))
     counts = {r["_toxic"]: r["count"] for r in train.groupBy("_toxic").count().collect()}
     n_toxic, n_other = counts.get(True, 0), counts.get(False, 0)
     if not n_toxic or not n_other:
@@ -313,8 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_CALIBRATION_ROWS
     other = {t: (d, s) for t, d, s in zip(*(against.column(c).to_pylist() for c in ("term", "docs", "share")), strict=True)}
     weights = choose_terms(toxic, other, n_toxic, n_other)
 
-    chosen = train.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(max_rows)
-    rows = chosen.mapInArrow(_with_features(weights, ["_toxic"]), f"_toxic boolean, {_FEATURES}").toArrow()
+    rows = train.mapInArrow(_with_features(weights, ["_toxic"]), f"_toxic boolean, {_FEATURES}").toArrow()
     y = rows.column("_toxic").to_numpy().astype(np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Model(weights, *UNLABELLED)
