@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import small_side, text_hash, unused, written
+from riskframe.llm.common import text_hash, unused, written
 from riskframe.llm.textvec import MARKS, Words, blocks, byte_table, find_words, mix
 
 MIN_WORDS = 6
@@ -153,7 +153,7 @@ def repeated_units(
         units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_first")).where("_n > 1").drop("_n")
     )
     return (
-        units.join(small_side(firsts), ["d1", "d2"])
+        units.join(firsts.hint("merge"), ["d1", "d2"])
         .where(rank != F.col("_first"))
         .select("doc_id", "_th", "start", "end", "n_words", F.col("_first.doc_id").alias("kept_doc_id"), F.col("_first.start").alias("kept_start"))
     )
