@@ -25,28 +25,44 @@ from riskframe.llm.q_pieces import MODEL
 #: No SQL gives these rows: models and samples decide. The stages are tested against brute-force versions.
 ORACLE_SQL = None
 
+#: Rows of an Arrow batch between executor and Python worker. Documents are long: a batch of this many is a few megabytes,
+#: where the default of ten times as many is held several times over by either side.
+ARROW_ROWS = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those whose language is rejected: null and wordless texts go. Repeated rows stay, an empty table stays empty."""
+    _short_batches(spark)
     return without_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; documents without words are no group and stay."""
+    _short_batches(spark)
     return one_of_each_group(docs, width=5, percent=80)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeats; ``n_chars`` follows the text."""
+    _short_batches(spark)
     cut = without_repeats(docs, min_line_words=MIN_LINE_WORDS, runs=True)
     counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.withColumn("n_chars", counted)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null and empty texts hold none."""
+    _short_batches(spark)
     return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document and sample: doc_id, sample, ids, n_pieces, log_prob, log_inclusion, round_trip."""
+    _short_batches(spark)
     return encode_samples(docs, MODEL, samples=2).drop("_th", "perturbed")
 
 
