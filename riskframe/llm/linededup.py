@@ -3,7 +3,9 @@
 A unit is a line, or a sentence of a line of several: sentences end at ``.``, ``!`` or ``?`` before a blank, and begin at a
 capitalised word, so that a passage set into running text still gives whole units. With ``runs``, each sentence that is too
 short is joined to those after it, and to those before it, until the run has enough words; runs are units as well, so that
-a repeated passage of short sentences, or with many capitalised words, is cut from end to end. A unit's digest (128 bits) is that of
+a repeated passage of short sentences, or with many capitalised words, is cut from end to end. With ``across_lines`` runs go
+on over line ends and a text too short for a run is one unit: a short line or sentence then counts only where its neighbours
+repeat beside it, so that a heading or a turn of phrase that two texts share by chance stays. A unit's digest (128 bits) is that of
 its words (letters and digits, A-Z in lower case), which leaves out case, marks and blanks. Of all units with one digest,
 the occurrence in the smallest id (then the smallest text hash, then the smallest offset) stays and the others are cut.
 """
@@ -21,7 +23,8 @@ from riskframe.llm.common import text_hash, unused, written
 from riskframe.llm.textvec import MARKS, Words, blocks, byte_table, find_words, mix
 
 MIN_WORDS = 6
-MIN_LINE_WORDS = 1
+#: Least words of a repeated passage, as the query and the pipeline ask for: any lines or sentences that make so many together.
+PASSAGE_WORDS = 20
 
 _TABLE = byte_table(MARKS)
 _BASES = np.array([0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25], np.uint64)
@@ -38,7 +41,9 @@ def _digest(hashes: np.ndarray, lengths: np.ndarray, base: np.uint64) -> np.ndar
     return mix(np.add.reduceat(mix(hashes ^ base) * weights[place], begin) + lengths.astype(np.uint64))
 
 
-def find_units(data: np.ndarray, offsets: np.ndarray, min_words: int, min_line_words: int, runs: bool = False) -> tuple[np.ndarray, ...]:
+def find_units(
+    data: np.ndarray, offsets: np.ndarray, min_words: int, min_line_words: int, runs: bool = False, across_lines: bool = False
+) -> tuple[np.ndarray, ...]:
     """(text, start, end, words, d1, d2) of the block's units; offsets count characters of the text. A unit reaches to where
     the next one of its kind begins, the last of a text to its end."""
     words = find_words(data, offsets, _TABLE)
@@ -78,28 +83,47 @@ def find_units(data: np.ndarray, offsets: np.ndarray, min_words: int, min_line_w
         base = char[offsets[own]]
         parts.append(tuple(x[keep] for x in (own, char[words.start[first]] - base, char[ends] - base, lengths, d1, d2)))
     if runs:
-        parts.append(_short_runs(words, text, sentences, per_line, min_words, char, offsets))
+        reach = per_line
+        if across_lines:
+            reach = np.diff(np.concatenate([np.searchsorted(sentences, np.flatnonzero(~follows)), [len(sentences)]]))
+        spans = _short_runs(sentences, n, reach, min_words, across_lines)
+        held_line = np.repeat(np.arange(len(lines)), per_line)
+        begin_of_line = np.cumsum(per_line) - per_line
+        own = held_line[spans[:, 0]]
+        is_line = (spans[:, 0] == begin_of_line[own]) & (spans[:, 1] == begin_of_line[own] + per_line[own] - 1)
+        if across_lines:
+            is_line &= np.diff(np.append(lines, n))[own] >= min_line_words
+        spans = spans[~is_line]  # those are units already
+        if len(spans):
+            parts.append(_run_units(words, text, sentences, spans, char, offsets))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _short_runs(
-    words: Words, text: np.ndarray, first: np.ndarray, per_line: np.ndarray, min_words: int, char: np.ndarray, offsets: np.ndarray
-) -> tuple[np.ndarray, ...]:
-    """The runs of each short sentence with the next ones of its line, and with those before, as few as make ``min_words`` words.
-    A run that is its whole line is left out: the line is a unit already."""
-    n = len(words.start)
+def _short_runs(first: np.ndarray, n: int, reach: np.ndarray, min_words: int, wholes: bool) -> np.ndarray:
+    """(first sentence, last sentence) of the runs of each short sentence with the next ones, and with those before, as few as
+    make ``min_words`` words. ``reach`` counts the sentences of each line or text, whose ends no run crosses; with ``wholes``
+    one of fewer words is a run itself."""
     last = np.concatenate([first[1:], [n]])
-    end_of_line = np.repeat(np.cumsum(per_line), per_line)
-    begin_of_line = end_of_line - np.repeat(per_line, per_line)
+    end = np.repeat(np.cumsum(reach), reach)
+    begin = end - np.repeat(reach, reach)
     short = np.flatnonzero(last - first < min_words)
     to = np.searchsorted(last, first[short] + min_words)
     since = np.searchsorted(first, last[short] - min_words, "right") - 1
-    ahead, back = to < end_of_line[short], since >= begin_of_line[short]
-    spans = np.concatenate([np.stack([short[ahead], to[ahead]], 1), np.stack([since[back], short[back]], 1)])
-    spans = np.unique(spans, axis=0)
-    spans = spans[(spans[:, 0] > begin_of_line[spans[:, 0]]) | (spans[:, 1] < end_of_line[spans[:, 0]] - 1)]
-    if not len(spans):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+    ahead, back = to < end[short], since >= begin[short]
+    spans = [np.stack([short[ahead], to[ahead]], 1), np.stack([since[back], short[back]], 1)]
+    if wholes:
+        opens = np.flatnonzero(np.arange(len(first)) == begin)
+        opens = opens[last[end[opens] - 1] - first[opens] < min_words]
+        spans.append(np.stack([opens, end[opens] - 1], 1))
+    return np.unique(np.concatenate(spans), axis=0)
+
+
+def _run_units(
+    words: Words, text: np.ndarray, first: np.ndarray, spans: np.ndarray, char: np.ndarray, offsets: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """The units of the spans of sentences."""
+    n = len(words.start)
+    last = np.concatenate([first[1:], [n]])
     start, stop = first[spans[:, 0]], last[spans[:, 1]]
     lengths = stop - start
     held = np.arange(lengths.sum()) + np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
@@ -111,11 +135,11 @@ def _short_runs(
     return own, char[words.start[start]] - base, char[ends] - base, lengths, d1, d2
 
 
-def _units(min_words: int, min_line_words: int, runs: bool):
+def _units(min_words: int, min_line_words: int, runs: bool, across_lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in blocks(batch.column("_text")):
-                text, start, end, n, d1, d2 = find_units(data, offsets, min_words, min_line_words, runs)
+                text, start, end, n, d1, d2 = find_units(data, offsets, min_words, min_line_words, runs, across_lines)
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -138,16 +162,18 @@ def repeated_units(
     text_column: str = "text",
     min_line_words: int | None = None,
     runs: bool = False,
+    across_lines: bool = False,
 ) -> DataFrame:
     """One row per unit to cut: doc_id, _th, start, end (characters of the original text), n_words, kept_doc_id, kept_start.
 
     Sentences of fewer than ``min_words`` words and lines of fewer than ``min_line_words`` (``min_words`` if None) stay, but with
-    ``runs`` the shorter sentences of a repeated passage go with it: cuts may then overlap. Null, empty and wordless texts have no units. A null id ranks behind all
+    ``runs`` the shorter sentences of a repeated passage go with it: cuts may then overlap. ``across_lines`` counts runs over
+    line ends, and texts of fewer than ``min_words`` words as wholes. Null, empty and wordless texts have no units. A null id ranks behind all
     ids. Rows equal in id and text are one document: its units are no repeats of themselves, and each row lists the same
     cuts. An empty table gives no rows. Other columns are not read.
     """
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_hash(text_column).alias("_th"), F.col(text_column).alias("_text"))
-    units = written(named.mapInArrow(_units(min_words, min_words if min_line_words is None else min_line_words, runs), UNIT_SCHEMA))
+    units = written(named.mapInArrow(_units(min_words, min_words if min_line_words is None else min_line_words, runs, across_lines), UNIT_SCHEMA))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "start")
     firsts = written(
         units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_first")).where("_n > 1").drop("_n")
@@ -187,11 +213,12 @@ def without_repeats(
     text_column: str = "text",
     min_line_words: int | None = None,
     runs: bool = False,
+    across_lines: bool = False,
 ) -> DataFrame:
     """The documents, all columns kept, with the repeated units cut from their texts. A text of repeats only becomes empty."""
     id_name, hash_name, cuts_name = (unused(docs, x) for x in ("_cut_id", "_cut_th", "_cuts"))
     cuts = (
-        repeated_units(docs, min_words, id_column, text_column, min_line_words, runs)
+        repeated_units(docs, min_words, id_column, text_column, min_line_words, runs, across_lines)
         .groupBy("doc_id", "_th")
         .agg(F.collect_set(F.struct("start", "end")).alias(cuts_name))
         .select(F.col("doc_id").alias(id_name), F.col("_th").alias(hash_name), cuts_name)

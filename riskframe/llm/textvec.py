@@ -1,6 +1,6 @@
 """Words, hashes and spans of many texts at once, on the UTF-8 bytes of an Arrow column.
 
-Texts are worked on whole, in blocks of a few megabytes; a longer text makes a block of its own.
+Texts are worked on whole, in blocks of a quarter of a megabyte; a longer text makes a block of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 

@@ -7,7 +7,7 @@ from .conftest import LOW
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def units(text, least, least_line=None, runs=False):
+def units(text, least, least_line=None, runs=False, across=False):
     """(start, end, words, content) of a text's units, by plain scanning."""
     words = list(WORD.finditer(text or ""))
     lines, sentences = [], []
@@ -27,11 +27,12 @@ def units(text, least, least_line=None, runs=False):
             spans.add((first, last))
         if len(own) > 1:
             spans |= {(s, e) for s, e in own if e - s >= least}
-        for i, (s, e) in enumerate(own if runs else []):
-            if e - s < least:
-                ahead = [(s, x) for _, x in own[i:] if x - s >= least][:1]
-                back = [(x, e) for x, _ in own[: i + 1] if e - x >= least][-1:]
-                spans |= {span for span in ahead + back if span != (first, last)}
+        if runs and not across:
+            spans |= {span for span in joined(own, least) if span != (first, last)}
+    if runs and across and words:
+        spans |= joined(list(zip(sentences, [*sentences, len(words)][1:], strict=True)), least)
+        if len(words) < least:
+            spans.add((0, len(words)))
     out = []
     for first, last in spans:
         end = words[last].start() if last < len(words) else len(text)
@@ -39,10 +40,19 @@ def units(text, least, least_line=None, runs=False):
     return sorted(out)
 
 
-def expected(rows, least, least_line=None, runs=False):
+def joined(own, least):
+    """The runs of each short one of the spans with those after it and with those before it."""
+    spans = set()
+    for i, (s, e) in enumerate(own):
+        if e - s < least:
+            spans |= set([(s, x) for _, x in own[i:] if x - s >= least][:1] + [(x, e) for x, _ in own[: i + 1] if e - x >= least][-1:])
+    return spans
+
+
+def expected(rows, least, least_line=None, runs=False, across=False):
     first, cuts = {}, []
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        for start, end, n, content in units(text, least, least_line, runs):
+        for start, end, n, content in units(text, least, least_line, runs, across):
             if content in first:
                 cuts.append((doc_id, start, end, n, *first[content]))
             else:
@@ -133,3 +143,23 @@ def test_runs_by_brute_force():
     data, offsets = text_bytes(pa.array(texts))
     plain, joined = (list(zip(*(x.tolist() for x in find_units(data, offsets, 6, 6, runs)))) for runs in (False, True))
     assert {(t, s, n) for t, s, _, n, *_ in joined[len(plain) :]} == want and joined[: len(plain)] == plain
+
+
+LINES = "Terms of use\nAll of it is given as it is.\nNo promise is made.\nAsk us first\nbefore you copy any part of this page."
+
+
+def test_passages_of_short_lines(documents):
+    texts = {1: f"One text\n{LINES}\nContents\nAll rights reserved.", 2: f"Contents\nall else is new here\n{LINES}\nThe end", 3: "Contents\nno more\nThe end", 4: "contents, no more: the END!"}
+    frame = documents(list(texts.items()))
+    got = {r.doc_id: r.text for r in without_repeats(frame, 20, runs=True, across_lines=True).collect()}
+    assert got == {1: texts[1], 2: "Contents\nall else is new here\nThe end", 3: texts[3], 4: ""}
+
+
+def test_runs_across_lines_by_brute_force(documents):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice(["Ab ", "ab ", "é ", "Éa ", "ab. ", "ab\n", "\n"]) for _ in range(rng.randrange(40)))) for i in range(80)]
+    for least in (3, 6, 9):
+        got = repeated_units(documents(rows), least, runs=True, across_lines=True)
+        assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in got.collect()) == expected(rows, least, None, True, True)

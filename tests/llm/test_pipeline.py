@@ -1,7 +1,7 @@
 import corpus_pipeline
 from riskframe.llm.common import written
 from riskframe.llm.decontam import contaminated_pairs
-from riskframe.llm.linededup import MIN_LINE_WORDS
+from riskframe.llm.linededup import PASSAGE_WORDS
 from riskframe.llm.pieces import decode_ids
 from riskframe.llm.q_pieces import MODEL
 
@@ -30,7 +30,7 @@ def test_stages_on_their_own_input(spark):
 
     rows = [(r.doc_id, r.text) for r in near.collect()]
     cut = {}
-    for doc_id, start, end, *_ in expected(rows, 6, MIN_LINE_WORDS, runs=True):
+    for doc_id, start, end, *_ in expected(rows, PASSAGE_WORDS, runs=True, across=True):
         cut.setdefault(doc_id, set()).update(range(start, end))
     left = {doc_id: "".join(c for i, c in enumerate(text) if i not in cut.get(doc_id, ())) for doc_id, text in rows}
     assert {r.doc_id: r.text for r in lines.collect()} == left and cut
