@@ -18,7 +18,7 @@ from riskframe.llm.common import read_table, written
 from riskframe.llm.decontam import without_contaminated
 from riskframe.llm.keepone import one_of_each_group
 from riskframe.llm.langid import without_rejected
-from riskframe.llm.linededup import MIN_LINE_WORDS, without_repeats
+from riskframe.llm.linededup import PASSAGE_WORDS, without_repeats
 from riskframe.llm.pieces import encode_samples
 from riskframe.llm.q_pieces import MODEL
 
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeats; ``n_chars`` follows the text."""
     _short_batches(spark)
-    cut = without_repeats(docs, min_line_words=MIN_LINE_WORDS, runs=True)
+    cut = without_repeats(docs, PASSAGE_WORDS, runs=True, across_lines=True)
     counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.withColumn("n_chars", counted)
 
