@@ -88,23 +88,64 @@ class Vocabulary:
                     ends.append(-1)
                 node = children[key]
             ends[node] = i
-        self.keys = np.array(sorted(children), np.int64)
-        self.child = np.array([children[k] for k in self.keys.tolist()], np.int32)
+        self.steps = Steps(np.array(list(children), np.int64), np.array(list(children.values()), np.int32))
         self.piece = np.array(ends, np.int32)
         self.root = np.full(len(self.chars) + 1, -1, np.int32)  # the last for characters of no piece
-        for key, node in zip(self.keys.tolist(), self.child.tolist(), strict=True):
+        for key, node in children.items():
             if key >> 16 == 0:
                 self.root[key] = node
         self.longest = max(len(texts[i]) for i in usable)
         self.weight = np.exp(self.log_p + _SCALE * np.array([len(x) for x in texts]))
+        self.n_bytes = np.array([len(x) for x in self.bytes], np.int64)
+        self.from_byte = np.cumsum(self.n_bytes) - self.n_bytes
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; ids of no piece give nothing."""
-        return self.joined([i for i in ids if 0 <= i < len(self.bytes)])
-
-    def joined(self, ids: list[int]) -> str:
-        """The text of known ids."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        known = [i for i in ids if 0 <= i < len(self.bytes)]
+        return b"".join(map(self.bytes.__getitem__, known)).decode("utf-8", "replace")[1:]
+
+    def gives(self, ids: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the known ids decode to the UTF-8 text, a blank before it."""
+        sizes = self.n_bytes[ids]
+        total = int(sizes.sum())
+        if total != (len(text) + 1 if len(text) else 0):
+            return False
+        at = np.repeat(self.from_byte[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        return np.array_equal(self.flat[at[1:]], text)
+
+
+class Steps:
+    """Children in the piece trie by (node, symbol), in a hashed table with open places."""
+
+    def __init__(self, keys: np.ndarray, child: np.ndarray) -> None:
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            open_ = np.flatnonzero(self.keys[at] < 0)
+            slots, lead = np.unique(at[open_], return_index=True)
+            taken = open_[lead]
+            self.keys[slots], self.child[slots] = keys[taken], child[taken]
+            left = np.ones(len(keys), bool)
+            left[taken] = False
+            keys, child, at = keys[left], child[left], at[left] + 1 & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _A >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``keys`` that have a child, and the children."""
+        at = self._place(keys)
+        held = self.keys[at]
+        other = np.flatnonzero((held != keys) & (held >= 0))
+        while len(other):
+            at[other] = at[other] + 1 & self.mask
+            held[other] = self.keys[at[other]]
+            other = other[(held[other] != keys[other]) & (held[other] >= 0)]
+        hit = np.flatnonzero(held == keys)
+        return hit, self.child[at[hit]]
 
 
 class Lattice:
@@ -127,9 +168,8 @@ class Lattice:
                 place, state = place[hit], state[hit]
             else:
                 key = state.astype(np.int64) << 16 | symbol[place + length - 1]
-                at = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
-                hit = vocabulary.keys[at] == key
-                place, state = place[hit], vocabulary.child[at[hit]]
+                hit, state = vocabulary.steps.find(key)
+                place = place[hit]
             piece = vocabulary.piece[state]
             done = piece >= 0
             if length == 1:
@@ -412,17 +452,16 @@ def _encoded(path: str, samples: int):
             keys = batch.column("_seed").to_numpy().view(np.uint64)
             for lo, hi, data, offsets in blocks(batch.column("_text"), BLOCK):
                 block = Block(vocabulary, data, offsets, keys[lo:hi])
-                raw = data.tobytes()
                 rows, numbers, ids, facts = [], [], [], []
                 size = 0
                 for t, found in enumerate(block.sampled(samples)):
-                    text = raw[offsets[t] : offsets[t + 1]].decode("utf-8", "replace")
+                    text = data[offsets[t] : offsets[t + 1]]
                     for sample, (edges, log_prob, value) in enumerate(found[:-1]):
                         own, _ = block.ids(vocabulary, edges)
                         rows.append(lo + t)
                         numbers.append(sample + 1)
                         ids.append(own.astype(np.int32))
-                        facts.append((round(log_prob, 6), round(value, 6), round(_log_inclusion(log_prob, found[-1][2]), 6), vocabulary.joined(own.tolist()) == text))
+                        facts.append((round(log_prob, 6), round(value, 6), round(_log_inclusion(log_prob, found[-1][2]), 6), vocabulary.gives(own, text)))
                         size += len(own)
                     if size > 1 << 19:
                         yield _rows(batch, rows, numbers, ids, facts)
