@@ -109,12 +109,11 @@ def first_findings(spark, sf_dir):
 
 @query(
     "refused_drafts",
-    """SELECT finding_id FROM findings WHERE NOT is_hypothesis AND finding_id NOT IN (SELECT finding_id FROM evidence WHERE source_type = 'benchmark')""",
+    """SELECT finding_id FROM findings WHERE NOT is_hypothesis AND finding_id NOT IN (SELECT finding_id FROM evidence WHERE finding_id IS NOT NULL)""",
     uses=("findings", "evidence"),
 )
 def refused_drafts(spark, sf_dir):
-    benchmarks = adapt(spark, sf_dir, "evidence").where(F.col("source_type") == "benchmark")
-    return store.publishable(adapt(spark, sf_dir, "findings"), benchmarks)[1].select("finding_id")
+    return store.publishable(adapt(spark, sf_dir, "findings"), adapt(spark, sf_dir, "evidence"))[1].select("finding_id")
 
 
 def watches(spark, sf_dir):

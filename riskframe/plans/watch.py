@@ -10,17 +10,22 @@ from riskframe.session import stage
 from riskframe.sources.adapters import adapt, table
 
 CUT = "1998-05-24"
+SYMBOL_ID = "l_partkey * 5 + l_suppkey % 5"
 
 
 def snapshots(spark, sf_dir):
-    """Two snapshots of one library per brand: a symbol per part, parameters from the part's line numbers."""
+    """Two snapshots of one library per brand, from all lines: those before a date and those since.
+
+    A symbol per part and fifth of its suppliers, parameters from the line numbers. A symbol is absent from a snapshot
+    when none of its lines falls on that side of the date.
+    """
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_brand AS library")
-    items = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "lineitem").selectExpr("*", f"{SYMBOL_ID} AS symbol_id")
 
     def side(condition):
         params = (
             items.where(condition)
-            .groupBy("l_partkey", "l_linenumber")
+            .groupBy("l_partkey", "symbol_id", "l_linenumber")
             .agg(F.count("*").alias("n"), F.min("l_tax").alias("tax"))
             .withColumn("kind", F.when(F.col("n") % 2 == 0, "kwonly").otherwise("pos"))
         )
@@ -33,9 +38,9 @@ def snapshots(spark, sf_dir):
                 F.when(p["tax"] > 0.02, p["tax"].cast("string")).alias("default"),
             ),
         )
-        name = F.concat("library", F.lit(".fn"), F.col("l_partkey").cast("string"))
+        name = F.concat("library", F.lit(".fn"), F.col("symbol_id").cast("string"))
         return (
-            params.groupBy("l_partkey")
+            params.groupBy("l_partkey", "symbol_id")
             .agg(listed.alias("params"))
             .join(parts, "l_partkey")
             .select(
@@ -43,7 +48,7 @@ def snapshots(spark, sf_dir):
                 name.alias("name"),
                 F.lit("function").alias("kind"),
                 F.lit("lib.py").alias("file"),
-                F.col("l_partkey").alias("line"),
+                F.col("symbol_id").alias("line"),
                 "params",
                 F.lit(False).alias("deprecated"),
                 F.lit(None).cast("string").alias("body"),
@@ -54,26 +59,25 @@ def snapshots(spark, sf_dir):
             )
         )
 
-    return side(f"l_shipdate < '{CUT}' AND l_partkey % 13 <> 0"), side(f"l_shipdate >= '{CUT}' AND l_partkey % 11 <> 0")
+    return side(f"l_shipdate < '{CUT}'"), side(f"l_shipdate >= '{CUT}'")
 
 
-PARAMS_SQL = f"""raw AS (SELECT l_partkey, l_linenumber, l_shipdate < TIMESTAMP '{CUT}' AS old, l_tax FROM lineitem
-      WHERE (l_shipdate < TIMESTAMP '{CUT}' AND l_partkey % 13 <> 0) OR (l_shipdate >= TIMESTAMP '{CUT}' AND l_partkey % 11 <> 0)),
-    params AS (SELECT l_partkey, old, 'p' || l_linenumber AS name, l_linenumber AS ln, CASE WHEN count(*) % 2 = 0 THEN 'kwonly' ELSE 'pos' END AS kind,
+PARAMS_SQL = f"""raw AS (SELECT {SYMBOL_ID} AS sk, l_linenumber, l_shipdate < TIMESTAMP '{CUT}' AS old, l_tax FROM lineitem WHERE l_shipdate IS NOT NULL),
+    params AS (SELECT sk, old, 'p' || l_linenumber AS name, l_linenumber AS ln, CASE WHEN count(*) % 2 = 0 THEN 'kwonly' ELSE 'pos' END AS kind,
       CASE WHEN min(l_tax) > 0.02 THEN CAST(min(l_tax) AS VARCHAR) END AS dflt FROM raw GROUP BY ALL),
-    syms AS (SELECT l_partkey, bool_or(old) AS has_old, bool_or(NOT old) AS has_new FROM params GROUP BY ALL),
-    joined AS (SELECT coalesce(o.l_partkey, n.l_partkey) AS l_partkey, coalesce(o.name, n.name) AS name, o.kind AS ok, n.kind AS nk, o.dflt AS od, n.dflt AS nd, o.name IS NOT NULL AS was, n.name IS NOT NULL AS now,
+    syms AS (SELECT sk, bool_or(old) AS has_old, bool_or(NOT old) AS has_new FROM params GROUP BY ALL),
+    joined AS (SELECT coalesce(o.sk, n.sk) AS sk, coalesce(o.name, n.name) AS name, o.kind AS ok, n.kind AS nk, o.dflt AS od, n.dflt AS nd, o.name IS NOT NULL AS was, n.name IS NOT NULL AS now,
         coalesce(o.ln, n.ln) AS ln
-      FROM (SELECT * FROM params WHERE old) o FULL JOIN (SELECT * FROM params WHERE NOT old) n ON o.l_partkey = n.l_partkey AND o.name = n.name),
-    flags AS (SELECT l_partkey, count(*) FILTER (was AND NOT now) AS removed, count(*) FILTER (now AND NOT was AND nd IS NULL) AS added_required, count(*) FILTER (now AND NOT was AND nd IS NOT NULL) AS added_optional,
+      FROM (SELECT * FROM params WHERE old) o FULL JOIN (SELECT * FROM params WHERE NOT old) n ON o.sk = n.sk AND o.name = n.name),
+    flags AS (SELECT sk, count(*) FILTER (was AND NOT now) AS removed, count(*) FILTER (now AND NOT was AND nd IS NULL) AS added_required, count(*) FILTER (now AND NOT was AND nd IS NOT NULL) AS added_optional,
         count(*) FILTER (ok = 'pos' AND nk = 'kwonly') AS became_kwonly, count(*) FILTER (was AND now AND od IS NOT NULL AND nd IS NULL) AS became_required,
         count(*) FILTER (od <> nd) AS default_changed, count(*) FILTER (ok = 'pos') AS old_pos, count(*) FILTER (nk = 'pos') AS new_pos
-      FROM joined GROUP BY l_partkey),
-    lib AS (SELECT p_partkey AS l_partkey, p_brand AS library FROM part),
-    changes AS (SELECT library, library || '.fn' || s.l_partkey AS target, s.l_partkey, f.*EXCLUDE (l_partkey),
+      FROM joined GROUP BY sk),
+    lib AS (SELECT p_partkey * 5 + range AS sk, p_brand AS library FROM part, range(5)),
+    changes AS (SELECT library, library || '.fn' || s.sk AS target, s.sk, f.*EXCLUDE (sk),
         CASE WHEN NOT has_new THEN 'removed' WHEN NOT has_old THEN 'added' WHEN removed + added_required + added_optional + became_kwonly + became_required + default_changed > 0 THEN 'signature' END AS kind,
         CASE WHEN NOT has_new THEN 'breaking' WHEN NOT has_old THEN 'info' WHEN removed > 0 OR added_required > 0 OR became_kwonly > 0 OR became_required > 0 OR new_pos < old_pos THEN 'breaking' WHEN default_changed > 0 THEN 'behavior' ELSE 'info' END AS severity
-      FROM syms s JOIN flags f USING (l_partkey) JOIN lib USING (l_partkey))"""
+      FROM syms s JOIN flags f USING (sk) JOIN lib USING (sk))"""
 
 
 @query("api_diff", f"WITH {PARAMS_SQL} SELECT library, kind, target, severity FROM changes WHERE kind IS NOT NULL")
@@ -101,6 +105,7 @@ def usages(spark, sf_dir):
         "concat('app/m', l_orderkey, '.py') AS file",
         "l_suppkey * 10 + l_linenumber AS line",
         "l_partkey",
+        f"{SYMBOL_ID} AS symbol_id",
         "CASE l_orderkey % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'reference' ELSE 'call' END AS usage_kind",
         "CASE WHEN l_orderkey % 5 >= 2 THEN CAST(l_quantity AS INT) % 5 END AS positional",
         "array(concat('p', l_suppkey % 7 + 1)) AS keywords",
@@ -108,26 +113,26 @@ def usages(spark, sf_dir):
         "l_orderkey % 50 = 8 AS star_kwargs",
     )
     return items.join(parts, "l_partkey").withColumn(
-        "symbol", F.concat("library", F.lit(".fn"), F.col("l_partkey").cast("string"))
-    ).drop("l_partkey")
+        "symbol", F.concat("library", F.lit(".fn"), F.col("symbol_id").cast("string"))
+    ).drop("l_partkey", "symbol_id")
 
 
 IMPACTS_SQL = (
     PARAMS_SQL
-    + """, uses AS (SELECT l_suppkey % 10 AS project_id, library, 'app/m' || l_orderkey || '.py' AS file, l_suppkey * 10 + l_linenumber AS line, i.l_partkey, library || '.fn' || i.l_partkey AS symbol,
+    + """, uses AS (SELECT l_suppkey % 10 AS project_id, library, 'app/m' || l_orderkey || '.py' AS file, l_suppkey * 10 + l_linenumber AS line, sk, library || '.fn' || sk AS symbol,
         CASE l_orderkey % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'reference' ELSE 'call' END AS usage_kind, CASE WHEN l_orderkey % 5 >= 2 THEN CAST(trunc(l_quantity) AS INT) % 5 END AS posn,
-        'p' || (l_suppkey % 7 + 1) AS kw, l_orderkey % 50 = 7 AS star_args, l_orderkey % 50 = 8 AS star_kwargs, row_number() OVER () AS uid FROM lineitem i JOIN lib USING (l_partkey)),
-    indexed AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN ok = 'pos' THEN 0 ELSE 1 END, ln) - 1 AS oi, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN nk = 'pos' THEN 0 ELSE 1 END, ln) - 1 AS ni FROM joined),
+        'p' || (l_suppkey % 7 + 1) AS kw, l_orderkey % 50 = 7 AS star_args, l_orderkey % 50 = 8 AS star_kwargs, row_number() OVER () AS uid FROM (SELECT *, l_partkey * 5 + l_suppkey % 5 AS sk FROM lineitem) i JOIN lib USING (sk)),
+    indexed AS (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY CASE WHEN ok = 'pos' THEN 0 ELSE 1 END, ln) - 1 AS oi, row_number() OVER (PARTITION BY sk ORDER BY CASE WHEN nk = 'pos' THEN 0 ELSE 1 END, ln) - 1 AS ni FROM joined),
     fits AS (SELECT uid, kind, severity, usage_kind,
         max(CASE WHEN was AND NOT now AND kw = name THEN 4
           WHEN posn IS NOT NULL AND NOT star_args AND posn > new_pos THEN 4
           WHEN posn IS NOT NULL AND NOT star_args AND ok = 'pos' AND nk = 'kwonly' AND oi < posn THEN 4
           WHEN posn IS NOT NULL AND NOT star_args AND now AND ((NOT was AND nd IS NULL) OR (was AND od IS NOT NULL AND nd IS NULL)) AND NOT (kw = name OR (nk = 'pos' AND ni < posn)) AND NOT star_kwargs THEN 4
           WHEN posn IS NOT NULL AND NOT star_args AND od <> nd AND NOT (kw = name OR (nk = 'pos' AND ni < posn)) AND NOT star_kwargs THEN 2 ELSE 0 END) AS lvl
-      FROM uses u JOIN changes c USING (l_partkey) JOIN indexed x USING (l_partkey) WHERE c.kind = 'signature' AND usage_kind = 'call' GROUP BY ALL),
-    rows0 AS (SELECT u.uid, 'removed' AS change_kind, 'breaking' AS level FROM uses u JOIN changes c USING (l_partkey) WHERE kind = 'removed'
+      FROM uses u JOIN changes c USING (sk) JOIN indexed x USING (sk) WHERE c.kind = 'signature' AND usage_kind = 'call' GROUP BY ALL),
+    rows0 AS (SELECT u.uid, 'removed' AS change_kind, 'breaking' AS level FROM uses u JOIN changes c USING (sk) WHERE kind = 'removed'
       UNION ALL SELECT uid, 'signature', CASE WHEN lvl = 4 THEN 'breaking' WHEN lvl = 2 THEN 'medium' WHEN severity <> 'info' THEN 'low' END FROM fits
-      UNION ALL SELECT u.uid, 'signature', 'medium' FROM uses u JOIN changes c USING (l_partkey) WHERE kind = 'signature' AND usage_kind = 'reference' AND severity = 'breaking'),
+      UNION ALL SELECT u.uid, 'signature', 'medium' FROM uses u JOIN changes c USING (sk) WHERE kind = 'signature' AND usage_kind = 'reference' AND severity = 'breaking'),
     placed AS (SELECT project_id, library, file, line, symbol, change_kind, level, usage_kind FROM rows0 JOIN uses USING (uid) WHERE level IS NOT NULL)"""
 )
 
@@ -147,7 +152,7 @@ def impacts(spark, sf_dir):
 @query(
     "usage_inventory",
     """WITH lib AS (SELECT p_partkey AS l_partkey, p_brand AS library FROM part),
-    u AS (SELECT l_suppkey % 10 AS project_id, library, library || '.fn' || l_partkey AS symbol, l_orderkey FROM lineitem JOIN lib USING (l_partkey)),
+    u AS (SELECT l_suppkey % 10 AS project_id, library, library || '.fn' || (l_partkey * 5 + l_suppkey % 5) AS symbol, l_orderkey FROM lineitem JOIN lib USING (l_partkey)),
     c AS (SELECT project_id, library, symbol, count(*) FILTER (l_orderkey % 5 <> 0) AS uses FROM u GROUP BY ALL HAVING count(*) FILTER (l_orderkey % 5 <> 0) > 0)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, library ORDER BY uses DESC, symbol) AS position FROM c) WHERE position <= 40""",
 )
