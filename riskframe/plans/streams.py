@@ -93,3 +93,17 @@ def stream_rate_limit(spark, sf_dir):
     hits = event_stream(spark, sf_dir, {"repo_id": "user_id", "event_id": "event_id", "ts": "ts"})
     decided = streams.rate_limited(hits, "repo_id", "ts", "event_id", per_minute=3, window_seconds=21_600)
     return finish(spark, "rate-limit", lambda path, checkpoint: streams.append_to_table(decided, path, checkpoint))
+
+
+@query(
+    "stream_watch_timers",
+    """WITH c AS (SELECT user_id AS watch_id, max(epoch_us(ts) // 1000) AS last FROM events GROUP BY user_id),
+    t AS (SELECT watch_id, min(last + CASE event_type WHEN 'click' THEN 24 WHEN 'purchase' THEN 168 ELSE 1 END * 3600000) AS due
+      FROM c JOIN events e ON e.user_id = c.watch_id AND epoch_us(e.ts) // 1000 = c.last GROUP BY watch_id)
+    SELECT watch_id, due AS due_ms FROM t WHERE due < (SELECT max(epoch_us(ts) // 1000) FROM events)""",
+)
+def stream_watch_timers(spark, sf_dir):
+    hours = "CASE event_type WHEN 'click' THEN 24 WHEN 'purchase' THEN 168 ELSE 1 END"
+    checks = event_stream(spark, sf_dir, {"watch_id": "user_id", "ts": "ts", "hours": hours})
+    due = streams.due_by_timer(checks, "watch_id", "ts", "hours").select("watch_id", F.unix_millis("due_at").alias("due_ms"))
+    return finish(spark, "watch-timers", lambda path, checkpoint: streams.append_to_table(due, path, checkpoint))

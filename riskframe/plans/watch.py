@@ -202,3 +202,105 @@ def next_checks(spark, sf_dir):
     due = watch.next_check(F.col("frequency"), now, F.col("status") == "failed")
     hours = ((F.unix_micros(due) - F.unix_micros(now)) / 3_600_000_000).cast("bigint")
     return adapt(spark, sf_dir, "watches").select("watch_id", hours.alias("hours"))
+
+
+# An order is a symbol. Its module is named after the customer, private for some; the later snapshot takes what it says from
+# the order's lines: without lines the symbol is gone, with many it lives in a module named after a supplier.
+LATER = """WITH o AS (SELECT o_orderkey AS k, concat('lib', o_orderkey % 20) AS library,
+      concat('lib', o_orderkey % 20, '.', CASE WHEN o_custkey % 10 = 0 THEN '_c' ELSE 'c' END, o_custkey) AS module,
+      o_orderstatus = 'F' AS dep, o_orderpriority = '1-URGENT' AS req, CAST(o_custkey % 3 AS BIGINT) AS body FROM orders),
+    n AS (SELECT k, library, CASE WHEN max(l_linenumber) >= 6 THEN concat(library, '.s', min(l_suppkey)) ELSE max(module) END AS module,
+      bool_or(l_returnflag = 'R') AS dep, min(l_discount) <= 0.005 AS req, CAST(count(*) % 3 AS BIGINT) AS body
+      FROM o JOIN lineitem ON k = l_orderkey GROUP BY k, library)"""
+
+CLASSIFIED_SQL = (
+    LATER
+    + """, j AS (SELECT o.*, concat(o.module, '.f', o.k) AS target, n.k IS NULL AS gone, n.module AS nmodule, n.dep AS ndep, n.req AS nreq, n.body AS nbody
+      FROM o LEFT JOIN n ON o.k = n.k),
+    changed AS (SELECT library, CASE WHEN gone THEN 'removed' ELSE 'moved' END AS kind, target, 'breaking' AS severity FROM j WHERE gone OR nmodule <> module
+      UNION ALL SELECT library, 'contract', target, 'breaking' FROM j WHERE nmodule = module AND nreq AND NOT req
+      UNION ALL SELECT library, 'deprecated', target, 'deprecation' FROM j WHERE nmodule = module AND ndep AND NOT dep
+      UNION ALL SELECT library, 'behavior', target, 'behavior' FROM j WHERE nmodule = module AND nbody <> body
+      UNION ALL SELECT DISTINCT library, 'module_removed', module, 'breaking' FROM o WHERE NOT contains(module, '._') AND module NOT IN (SELECT module FROM n)),
+    used AS (SELECT DISTINCT l_suppkey % 10 AS project_id, concat('app/u', l_suppkey, '.py') AS file, l_linenumber AS line, library, module, target
+      FROM lineitem JOIN j ON j.k = l_orderkey),
+    met AS (SELECT project_id, file, line, kind, c.target AS change_symbol, min(u.target) AS target, CASE kind WHEN 'deprecated' THEN 'medium' WHEN 'behavior' THEN 'low' WHEN 'contract' THEN NULL ELSE 'breaking' END AS level
+      FROM used u JOIN changed c ON c.library = u.library AND c.target IN (u.target, u.module) GROUP BY ALL),
+    touched AS (SELECT project_id, file, line, target AS symbol, kind AS change_kind, level FROM met WHERE level IS NOT NULL
+      QUALIFY level <> 'low' OR bool_and(level = 'low') OVER (PARTITION BY project_id, file, line, target))"""
+)
+
+
+def classified(spark, sf_dir):
+    """Earlier and later snapshot of the orders' symbols, and the modules that are gone."""
+    for name in ("orders", "lineitem"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+    def side(cte):
+        symbol = "concat(module, '.f', k)"
+        flagged = spark.sql(f"{LATER} SELECT * FROM {cte}")
+        return flagged, flagged.selectExpr(
+            "library",
+            f"{symbol} AS name",
+            "'function' AS kind",
+            "concat(replace(module, '.', '/'), '.py') AS file",
+            "k AS line",
+            "CAST(array() AS array<struct<name:string,kind:string,`default`:string>>) AS params",
+            "dep AS deprecated",
+            "CAST(body AS string) AS body",
+            f"{symbol} AS target",
+            "CAST(array() AS array<string>) AS bases",
+            "CAST(NULL AS map<string,string>) AS deprecated_params",
+            "CASE WHEN req THEN map('q', 'raises') END AS required_params",
+        )
+
+    (o, old), (n, new) = side("o"), side("n")
+    return old, new, watch.removed_modules(o, n)
+
+
+def references(spark, sf_dir):
+    """Each line of an order refers to the order's symbol of the earlier snapshot, from a file of its supplier."""
+    symbols = classified(spark, sf_dir)[0].select("library", F.col("name").alias("symbol"), F.col("line").alias("l_orderkey"))
+    items = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey",
+        "l_suppkey % 10 AS project_id",
+        "concat('app/u', l_suppkey, '.py') AS file",
+        "l_linenumber AS line",
+        "'reference' AS usage_kind",
+        "CAST(NULL AS int) AS positional",
+        "CAST(array() AS array<string>) AS keywords",
+        "false AS star_args",
+        "false AS star_kwargs",
+    )
+    return items.join(symbols, "l_orderkey").drop("l_orderkey")
+
+
+@query("classified_changes", f"{CLASSIFIED_SQL} SELECT library, kind, target, severity FROM changed")
+def classified_changes(spark, sf_dir):
+    return watch.diff_snapshots(*classified(spark, sf_dir)).select("library", "kind", "target", "severity")
+
+
+@query("classified_impacts", f"{CLASSIFIED_SQL} SELECT project_id, file, line, symbol, change_kind, level FROM touched")
+def classified_impacts(spark, sf_dir):
+    old, new, modules = classified(spark, sf_dir)
+    found = watch.assess_impacts(watch.diff_snapshots(old, new, modules), references(spark, sf_dir), modules)
+    return found.select("project_id", "file", "line", "symbol", "change_kind", "level")
+
+
+@query(
+    "change_kind_stats",
+    f"""{CLASSIFIED_SQL}, i AS (SELECT regexp_extract(symbol, '^[^.]+') AS library, count(*) AS impacts, count(*) FILTER (level = 'breaking') AS impacts_breaking,
+      count(*) FILTER (level = 'medium') AS impacts_medium, count(*) FILTER (level = 'low') AS impacts_low, count(DISTINCT (project_id, file)) AS affected_files FROM
+      (SELECT project_id, file, line, symbol, change_kind, level FROM touched) GROUP BY 1)
+    SELECT c.library, count(*) AS changes, count(*) FILTER (severity = 'breaking') AS breaking_changes, count(*) FILTER (kind = 'removed') AS changes_removed, count(*) FILTER (kind = 'moved') AS changes_moved,
+      count(*) FILTER (kind = 'contract') AS changes_contract, count(*) FILTER (kind = 'deprecated') AS changes_deprecated, count(*) FILTER (kind = 'behavior') AS changes_behavior,
+      count(*) FILTER (kind = 'module_removed') AS changes_module_removed, any_value(impacts) AS impacts, any_value(impacts_breaking) AS impacts_breaking, any_value(impacts_medium) AS impacts_medium,
+      any_value(impacts_low) AS impacts_low, any_value(affected_files) AS affected_files FROM changed c LEFT JOIN i ON i.library = c.library GROUP BY c.library""",
+)
+def change_kind_stats(spark, sf_dir):
+    old, new, modules = classified(spark, sf_dir)
+    changes = stage(watch.diff_snapshots(old, new, modules))
+    stats = watch.watch_stats(changes, watch.assess_impacts(changes, references(spark, sf_dir), modules))
+    kinds = [f"changes_{k}" for k in ("removed", "moved", "contract", "deprecated", "behavior", "module_removed")]
+    levels = [f"impacts_{k}" for k in ("breaking", "medium", "low")]
+    return stats.select("library", "changes", "breaking_changes", *kinds, "impacts", *levels, "affected_files")

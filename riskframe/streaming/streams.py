@@ -49,16 +49,25 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
 def append_numbered(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append events with sequence numbers that continue each case's numbering in the table at ``path``.
 
-    A batch that is written again after a failure replaces its own folder, so numbers stay dense.
+    Beside each batch stands its high-water table, one row per case seen so far: the next batch reads that and no event
+    written before. A batch that is written again after a failure starts from the same high water and replaces its own
+    folders, so numbers stay dense. Folders of high water older than the last batch can be removed at any time.
     """
 
+    def high_water(batch_id: int) -> str:
+        return f"{path}/_high_water/batch={batch_id}"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = "repo_id long, event_id long, seq long, batch long"
-        written = spark.read.schema(schema).parquet(path) if batch_id > 0 else spark.createDataFrame([], schema)
-        high = written.where(F.col("batch") < batch_id).groupBy("repo_id").agg(F.max("seq").alias("high_water"))
-        numbered = append_events(batch, high)
-        numbered.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        case = batch.schema["repo_id"].dataType.simpleString()
+        schema = f"repo_id {case}, high_water long"
+        before = spark.read.schema(schema).parquet(high_water(batch_id - 1)) if batch_id > 0 else spark.createDataFrame([], schema)
+        numbered = append_events(batch, before)
+        folder = f"{path}/batch={batch_id}"
+        numbered.write.mode("overwrite").parquet(folder)
+        reached = spark.read.schema(numbered.schema).parquet(folder).select("repo_id", F.col("seq").alias("high_water"))
+        after = before.unionByName(reached).groupBy("repo_id").agg(F.max("high_water").alias("high_water"))
+        after.write.mode("overwrite").parquet(high_water(batch_id))
 
     return each_batch(stream, write, checkpoint)
 
@@ -92,6 +101,54 @@ def due_watch_batches(watches: Callable[[], DataFrame], act: Callable[[DataFrame
     return on_tick
 
 
+def due_by_timer(checks: DataFrame, watch: str, when: str, hours: str, delay: str = "0 seconds") -> DataFrame:
+    """Watches that fall due, from a stream of their checks: ``watch``, ``due_at``.
+
+    A check sets its watch's timer ``hours`` ahead (null: never due); a later check sets it anew, of checks at one instant
+    the shortest counts. The timer fires once event time, less ``delay``, has passed it; the state then goes, until the
+    watch is checked again. State is two numbers a watch, and a batch of any size is read piece by piece. Rows without
+    an instant or a watch are left out.
+    """
+    narrow = checks.where(F.col(when).isNotNull() & F.col(watch).isNotNull()).withWatermark(when, delay)
+    narrow = narrow.select(watch, when, F.unix_millis(when).alias("_at"), F.col(hours).cast("double").alias("_hours"))
+    kind = narrow.schema[watch].dataType.simpleString()
+
+    def pick(key: tuple, chunks: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        def fired(due: int) -> pd.DataFrame:
+            return pd.DataFrame({watch: [key[0]], "_due": [due]})
+
+        if state.hasTimedOut:
+            due = state.get[1]
+            state.remove()
+            yield fired(due)
+            return
+        last, due = state.get if state.exists else (None, None)
+        for chunk in chunks:
+            at = int(chunk["_at"].max())
+            if last is not None and at < last:
+                continue
+            wait = chunk.loc[chunk["_at"] == at, "_hours"].min()
+            ahead = None if pd.isna(wait) else at + int(wait * 3_600_000)
+            tied = [d for d in (due if at == last else None, ahead) if d is not None]
+            last, due = at, min(tied, default=None)
+        passed = state.getCurrentWatermarkMs()
+        if due is not None and due < passed:
+            if state.exists:
+                state.remove()
+            yield fired(due)
+            return
+        state.update((last, due))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due, passed + 1))
+
+    timed = narrow.groupBy(watch).applyInPandasWithState(
+        pick, f"`{watch}` {kind}, _due long", "last long, due long", "append", "EventTimeTimeout"
+    )
+    return timed.select(watch, F.timestamp_millis("_due").alias("due_at"))
+
+
 def rate_limited(hits: DataFrame, client: str, when: str, tie: str, per_minute: int, window_seconds: int = 60) -> DataFrame:
     """A sliding limit per client over a stream that records accepted hits only.
 
