@@ -295,7 +295,8 @@ def broken_call_sites(applicable: DataFrame, calls: DataFrame, assignments: Data
     by_call = sites.join(rules.where(F.col("condition") != "result_method_called"), ["repo_id", "_tail"]).where(
         (F.col("resolved") == F.col("call")) | (wildcard & F.endswith("resolved", F.expr("substring(call, 2)")))
     )
-    has = F.array_contains("keywords", F.col("keyword"))
+    # A call without a keyword list hands none over.
+    has = F.coalesce(F.array_contains("keywords", F.col("keyword")), F.lit(False))
     hits = by_call.where(
         ((F.col("condition") == "missing_keyword") & ~has)
         | ((F.col("condition") == "has_keyword") & has)
