@@ -128,3 +128,18 @@ def test_tool_logs(spark):
     results = snapshots.benchmark_results(spark.createDataFrame([("b", out)], "bench_id string, stdout string"))
     verdict = snapshots.scaling_verdict(results).first()
     assert verdict.points == 3 and verdict.confirmed
+
+
+def test_break_rules_without_target_and_calls_without_keywords(spark):
+    from riskframe.operators import deps
+
+    ups = [(1, "p", "1.0", None), (2, "p", "1.0", "main"), (3, "p", "1.0", "1.9"), (4, "p", "2.0", "3.0"), (5, "p", "2.0rc1", "2.0"), (6, "p", None, "3.0")]
+    upgrades = spark.createDataFrame(ups, "repo_id long, package string, current_version string, target_version string")
+    rule = [("p", "r1", "p.run", "missing_keyword", "safe", None, "2.0")]
+    rules = spark.createDataFrame(rule, "package string, id string, call string, condition string, keyword string, method string, breaking_in string")
+    found = deps.applicable_break_rules(upgrades, rules)
+    assert sorted(r.repo_id for r in found.collect()) == [1, 2, 5]
+    fields = "repo_id long, path string, line long, resolved string, keywords array<string>, receiver string, receiver_call string, method string"
+    calls = [(1, "a.py", n, name, kw, None, None, None) for n, name, kw in ((1, "p.run", None), (2, "p.run", []), (3, "p.run", ["safe"]), (4, "q.run", None), (5, None, None))]
+    hit = deps.broken_call_sites(found, spark.createDataFrame(calls, fields))
+    assert sorted((r.repo_id, r.line) for r in hit.collect()) == [(1, 1), (1, 2)]
