@@ -112,7 +112,7 @@ def loop_suspects(spark, sf_dir):
     UNION ALL SELECT repo_id, path, 'testing.flaky_indicators' FROM src WHERE is_test AND k % 6 = 5""",
 )
 def test_quality(spark, sf_dir):
-    return code_rules.test_findings(facts_of(spark, sf_dir, *KINDS)).select("repo_id", "path", "rule_id")
+    return code_rules.test_findings(facts_of(spark, sf_dir, "test", "call", tests=True)).select("repo_id", "path", "rule_id")
 
 
 @query(
