@@ -121,7 +121,7 @@ def test_quality(spark, sf_dir):
     SELECT repo_id, importer, path FROM e""",
 )
 def import_graph(spark, sf_dir):
-    facts = stage(facts_of(spark, sf_dir, *KINDS).where("fact = 'import'").select("repo_id", "path", F.col("resolved").alias("target")))
+    facts = stage(facts_of(spark, sf_dir, "import").select("repo_id", "path", F.col("resolved").alias("target")))
     from riskframe.functions.paths import module_name
 
     files = source_files(spark, sf_dir).select(F.col("repo_id").cast("string").alias("repo_id"), "path")
