@@ -147,7 +147,7 @@ def library_usages(spark, sf_dir):
     f"WITH {SOURCE_SQL} SELECT repo_id, path, 'test_fn' AS function, count(*) AS calls FROM src GROUP BY ALL",
 )
 def enclosing_functions(spark, sf_dir):
-    facts = stage(facts_of(spark, sf_dir, *KINDS).where("fact IN ('call', 'function')"))
+    facts = stage(facts_of(spark, sf_dir, "call", "function").select("repo_id", "path", "fact", "line", "end_line", "scope"))
     calls = facts.where("fact = 'call'").select("repo_id", "path", "line")
     placed = code_rules.enclosing_function(calls, facts)
     return placed.groupBy("repo_id", "path", "function").agg(F.count("*").alias("calls"))
