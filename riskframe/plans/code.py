@@ -67,7 +67,7 @@ def facts_of(spark, sf_dir, *kinds: str, tests: bool | None = None) -> DataFrame
     f"WITH {SOURCE_SQL} SELECT repo_id, path, CAST(2 + 2 * (k % 6) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS INT) AS complexity, CAST(1 + k % 6 AS INT) AS nesting FROM src",
 )
 def function_metrics(spark, sf_dir):
-    return facts_of(spark, sf_dir, *KINDS).where("fact = 'function'").select("repo_id", "path", "complexity", "nesting")
+    return facts_of(spark, sf_dir, "function").select("repo_id", "path", "complexity", "nesting")
 
 
 @query(
