@@ -139,7 +139,7 @@ def library_usages(spark, sf_dir):
     from riskframe.functions.lookup import literal_table
 
     libraries = literal_table(spark, [("pyjwt", "jwt"), ("pyyaml", "yaml")], "library string, root string")
-    return code_rules.library_usages(facts_of(spark, sf_dir, *KINDS), libraries).select("project_id", "file", "usage_kind", "symbol")
+    return code_rules.library_usages(facts_of(spark, sf_dir, "import", "call", "reference"), libraries).select("project_id", "file", "usage_kind", "symbol")
 
 
 @query(
