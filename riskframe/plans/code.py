@@ -103,7 +103,7 @@ def silent_handlers(spark, sf_dir):
     f"""WITH {SOURCE_SQL} SELECT repo_id, path, CASE k % 6 WHEN 4 THEN 'performance.n_plus_one' ELSE 'performance.network_in_loop' END AS rule_id, 'test_fn' AS function FROM src WHERE NOT is_test AND k % 6 IN (4, 5)""",
 )
 def loop_suspects(spark, sf_dir):
-    return code_rules.loop_suspects(facts_of(spark, sf_dir, *KINDS)).select("repo_id", "path", "rule_id", "function")
+    return code_rules.loop_suspects(facts_of(spark, sf_dir, "call", tests=False)).select("repo_id", "path", "rule_id", "function")
 
 
 @query(
