@@ -87,7 +87,7 @@ def insecure_calls(spark, sf_dir):
     f"WITH {SOURCE_SQL} SELECT repo_id, path, 'code_quality.high_complexity' AS rule_id FROM src WHERE NOT is_test AND 2 + 2 * (k % 6) + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END > 10 UNION ALL SELECT repo_id, path, 'code_quality.deep_nesting' FROM src WHERE NOT is_test AND k % 6 > 3",
 )
 def metric_findings(spark, sf_dir):
-    return code_rules.metric_findings(facts_of(spark, sf_dir, *KINDS)).select("repo_id", "path", "rule_id")
+    return code_rules.metric_findings(facts_of(spark, sf_dir, "function", tests=False)).select("repo_id", "path", "rule_id")
 
 
 @query(
