@@ -159,4 +159,4 @@ def enclosing_functions(spark, sf_dir):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, path) AS position FROM r) WHERE position <= 10""",
 )
 def most_complex_functions(spark, sf_dir):
-    return code_rules.most_complex(facts_of(spark, sf_dir, *KINDS)).select("repo_id", "path", "complexity", "position")
+    return code_rules.most_complex(facts_of(spark, sf_dir, "function")).select("repo_id", "path", "complexity", "position")
