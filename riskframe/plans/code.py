@@ -10,7 +10,7 @@ from riskframe.operators import code_rules, graph
 from riskframe.plans.registry import query
 from riskframe.session import stage
 from riskframe.sources.adapters import table
-from riskframe.sources.pyfacts import KINDS, python_facts
+from riskframe.sources.pyfacts import python_facts
 
 # Order k: one function with k % 6 nested branches in a loop, a call chosen by k % 6, an import of the module of k / 2.
 CALLS = ("jwt.decode(x, verify=False)", "jwt.decode(x)", "hashlib.md5(x)", "yaml.load(x)", "db.execute('q' % x)", "requests.get(x)")
@@ -95,7 +95,7 @@ def metric_findings(spark, sf_dir):
     f"WITH {SOURCE_SQL} SELECT repo_id, path, CAST(1 AS BIGINT) AS handlers FROM src WHERE NOT is_test AND k % 7 = 0",
 )
 def silent_handlers(spark, sf_dir):
-    return code_rules.silent_handlers(facts_of(spark, sf_dir, *KINDS)).select("repo_id", "path", "handlers")
+    return code_rules.silent_handlers(facts_of(spark, sf_dir, "handler", tests=False)).select("repo_id", "path", "handlers")
 
 
 @query(
