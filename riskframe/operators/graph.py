@@ -42,23 +42,32 @@ def spread(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: l
 def spread_best(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: list[str]) -> DataFrame:
     """The highest rank each node receives along edges: ``(keys…, source, rank)``.
 
-    A node passes on only a rank above all it had before. Each round follows ``HOPS`` edges in one job, keeping the best
-    rank per node on each, before it compares with what is known; a graph of n levels takes n / HOPS rounds. ``known`` has one row
-    per node, replaced when its rank rises, so nothing known is aggregated again.
+    Only edges into nodes that a seed doesn't give the top rank are followed, each with the rank its target starts from: a
+    rank is passed on only where it is higher. Each round follows ``HOPS`` edges in one job before it compares with what
+    earlier rounds raised; a graph of n levels takes n / HOPS rounds. Nodes no round raised are never written again.
     """
     node = [*keys, source]
-    links = stage(edges.select(*node, target).where(F.col(source) != F.col(target)).distinct())
-    known = frontier = stage(seeds.groupBy(*node).agg(F.max("rank").alias("rank")))
+    best = F.max("rank").alias("rank")
+    known = stage(seeds.groupBy(*node).agg(best))
+    top = known.agg(best).first()["rank"]
+    begun = known.select(*keys, F.col(source).alias(target), F.col("rank").alias("_begun"))
+    links = edges.select(*node, target).where(F.col(source) != F.col(target)).distinct()
+    into = links.join(begun, [*keys, target], "left").where(F.col("_begun").isNull() | (F.col("_begun") < F.lit(top)))
+    followed = stage(into)
+    frontier, raised = known, None
     while not frontier.isEmpty():
         hop, hops = frontier, None
         for _ in range(HOPS):
-            hop = hop.join(links, node).groupBy(*keys, F.col(target).alias(source)).agg(F.max("rank").alias("rank"))
+            over = hop.join(followed, node).where(F.col("_begun").isNull() | (F.col("rank") > F.col("_begun")))
+            hop = over.groupBy(*keys, F.col(target).alias(source)).agg(best)
             hops = hop if hops is None else hops.unionByName(hop)
-        held = known.withColumnRenamed("rank", "_held")
-        offered = hops.groupBy(*node).agg(F.max("rank").alias("rank"))
-        frontier = stage(offered.join(held, node, "left").where(F.col("_held").isNull() | (F.col("rank") > F.col("_held"))).drop("_held"))
-        known = stage(known.join(frontier, node, "left_anti").unionByName(frontier))
-    return known
+        offered = hops.groupBy(*node).agg(best)
+        if raised is not None:
+            held = raised.groupBy(*node).agg(F.max("rank").alias("_held"))
+            offered = offered.join(held, node, "left").where(F.col("_held").isNull() | (F.col("rank") > F.col("_held"))).drop("_held")
+        frontier = stage(offered)
+        raised = frontier if raised is None else raised.unionByName(frontier)
+    return known if raised is None else known.unionByName(raised).groupBy(*node).agg(best)
 
 
 def transitive_importers(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -84,14 +93,13 @@ def reach_of_files(files: DataFrame, edges: DataFrame, entrypoints: DataFrame) -
     keeps the best rank it receives, so no importer pairs are built.
     ``files(repo_id, path)``, ``edges(repo_id, importer, path)``, ``entrypoints(repo_id, path)``.
     """
-    importers = edges.select("repo_id", F.col("importer").alias("node")).distinct()
     entries = entrypoints.select("repo_id", F.col("path").alias("node")).distinct().withColumn("_entry", F.lit(True))
     production = ~is_test_path(F.col("node"))
     rank = F.when(production & F.coalesce("_entry", F.lit(False)), 3).when(production, 2).otherwise(1)
-    own = importers.join(entries, ["repo_id", "node"], "left").select("repo_id", "node", rank.alias("rank"))
     # A file's own rank is not about itself: it starts at what the file imports.
     links = edges.select("repo_id", F.col("importer").alias("node"), F.col("path").alias("imported"))
-    started = own.join(links, ["repo_id", "node"]).select("repo_id", F.col("imported").alias("node"), "rank")
+    named = links.where(F.col("repo_id").isNotNull() & F.col("node").isNotNull())
+    started = named.join(entries, ["repo_id", "node"], "left").select("repo_id", F.col("imported").alias("node"), rank.alias("rank"))
     best = spread_best(started, links, "node", "imported", ["repo_id"]).withColumnRenamed("node", "path")
     reach = (
         F.when(~F.col("path").endswith(".py"), F.lit("n/a"))

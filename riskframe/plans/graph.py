@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskframe.functions import versions
 from riskframe.operators import deps, graph
 from riskframe.plans.registry import ORACLES, query
+from riskframe.session import stage
 from riskframe.sources import manifests, snapshots
 from riskframe.sources.adapters import adapt, table
 
@@ -39,7 +40,7 @@ def nodes_of(edges):
     FROM nodes n LEFT JOIN best b ON b.repo_id = n.repo_id AND b.node = n.path""",
 )
 def reachability(spark, sf_dir):
-    edges = import_edges(spark, sf_dir)
+    edges = stage(import_edges(spark, sf_dir))
     nodes = nodes_of(edges)
     return graph.reach_of_files(nodes, edges, nodes.where(F.contains("path", F.lit("/api/"))))
 
@@ -259,7 +260,7 @@ REACH_CASE = "CASE {x} WHEN 'entrypoint' THEN 0 WHEN 'reachable' THEN 1 WHEN 'te
     + f") SELECT repo_id, package, arg_min(reach, {REACH_CASE.format(x='reach')}) AS reach FROM uses JOIN found USING (repo_id, path) GROUP BY repo_id, package",
 )
 def dependency_reach(spark, sf_dir):
-    edges = import_edges(spark, sf_dir)
+    edges = stage(import_edges(spark, sf_dir))
     nodes = nodes_of(edges)
     reach = graph.reach_of_files(nodes, edges, nodes.where(F.contains("path", F.lit("/api/"))))
     uses = table(spark, sf_dir, "lineitem").selectExpr(

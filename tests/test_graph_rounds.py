@@ -63,3 +63,21 @@ def test_best_ranks_over_deep_graphs_and_circles(spark):
     frame = spark.createDataFrame([("r", a, b) for a, b in edges], "repo string, a int, b int")
     got = graph.spread_best(spark.createDataFrame([("r", n, k) for n, k in seeds], "repo string, a int, rank int"), frame, "a", "b", ["repo"]).collect()
     assert {r.a: r["rank"] for r in got} == best and len(got) == len(best)
+
+
+def test_rounds_write_only_what_can_still_rise(spark, monkeypatch):
+    written = []
+    keep = graph.stage
+
+    def counted(df):
+        kept = keep(df)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(graph, "stage", counted)
+    edges = spark.createDataFrame([("r", f"n{i}", f"n{i // 2}") for i in range(1, 200)], "repo string, a string, b string")
+    seeds = spark.createDataFrame([("r", f"n{i}", 1 if i == 3 else 2) for i in range(100)], "repo string, a string, rank int")
+    got = {r.a: r["rank"] for r in graph.spread_best(seeds, edges, "a", "b", ["repo"]).collect()}
+    assert got == {f"n{i}": 2 for i in range(100)}
+    # The nodes once, the two edges into the one node below the top, that node, and a round that finds nothing.
+    assert written == [100, 2, 1, 0]
