@@ -236,6 +236,11 @@ def _doublings(pairs: DataFrame, node: str, keys: list[str]) -> int:
     return max(1, pairs.select(*keys, node).distinct().count()).bit_length()
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts both sides: a staged table's files are far smaller than its rows, too small a measure for a broadcast."""
+    return df.hint("merge")
+
+
 def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
     """Resolve re-exported names to the symbols behind them: ``library, name, target``.
 
@@ -245,15 +250,15 @@ def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     real = symbols.select("library", F.col("name").alias("at")).distinct()
     step = stage(aliases.select("library", "name", F.col("source").alias("at")).distinct())
-    done = stage(step.join(real, ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target")))
-    pending = stage(step.join(real, ["library", "at"], "left_anti").select("library", "name", "at"))
+    done = stage(step.join(_merged(real), ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target")))
+    pending = stage(step.join(_merged(real), ["library", "at"], "left_anti").select("library", "name", "at"))
     for _ in range(_doublings(step, "name", ["library"])):
         if pending.isEmpty():
             break
         known = done.select("library", F.col("name").alias("at"), "target")
-        done = stage(done.unionByName(pending.join(known, ["library", "at"]).select("library", "name", "target")).distinct())
+        done = stage(done.unionByName(pending.join(_merged(known), ["library", "at"]).select("library", "name", "target")).distinct())
         onward = pending.select("library", F.col("name").alias("at"), F.col("at").alias("_on"))
-        pending = stage(pending.join(onward, ["library", "at"]).select("library", "name", F.col("_on").alias("at")).distinct())
+        pending = stage(pending.join(_merged(onward), ["library", "at"]).select("library", "name", F.col("_on").alias("at")).distinct())
     return done
 
 
@@ -276,11 +281,11 @@ def propagate_contracts(rules: DataFrame, delegates: DataFrame) -> DataFrame:
         if steps.isEmpty():
             break
         behind = held.select("library", F.col("name").alias("_name"), F.col("param").alias("_param"), "kind", "message", "_far")
-        over = steps.join(behind, ["library", "_name", "_param"]).select(*node, "kind", "message", (F.col("_far") + (1 << round_)).alias("_far"))
+        over = steps.join(_merged(behind), ["library", "_name", "_param"]).select(*node, "kind", "message", (F.col("_far") + (1 << round_)).alias("_far"))
         nearest = F.min(F.struct("_far", "message")).alias("_best")
         inherited = over.unionByName(held.where("_far > 0")).groupBy(*node, "kind").agg(nearest)
-        kept = inherited.select(*node, "kind", "_best.message", "_best._far").join(stated, [*node, "kind"], "left_anti")
+        kept = inherited.select(*node, "kind", "_best.message", "_best._far").join(_merged(stated), [*node, "kind"], "left_anti")
         held = stage(stated.unionByName(kept))
         onward = steps.select("library", F.col("name").alias("_name"), F.col("param").alias("_param"), F.col("_name").alias("_n"), F.col("_param").alias("_p"))
-        steps = stage(steps.join(onward, ["library", "_name", "_param"]).select(*node, F.col("_n").alias("_name"), F.col("_p").alias("_param")).distinct())
+        steps = stage(steps.join(_merged(onward), ["library", "_name", "_param"]).select(*node, F.col("_n").alias("_name"), F.col("_p").alias("_param")).distinct())
     return held.drop("_far")

@@ -81,3 +81,17 @@ def test_rounds_write_only_what_can_still_rise(spark, monkeypatch):
     assert got == {f"n{i}": 2 for i in range(100)}
     # The nodes once, the two edges into the one node below the top, that node, and a round that finds nothing.
     assert written == [100, 2, 1, 0]
+
+
+def test_staged_tables_are_not_broadcast_for_their_small_files(spark, monkeypatch):
+    plans = []
+    keep = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = [("lib", f"n{i + 1}", f"n{i}") for i in range(9)]
+    symbols = spark.createDataFrame([("lib", "n0")], "library string, name string")
+    found = graph.follow_aliases(spark.createDataFrame(rows, "library string, name string, source string"), symbols)
+    assert {r.target for r in found.collect()} == {"n0"}
+    rules = spark.createDataFrame([("lib", "n0", "p", "deprecated", "m")], "library string, name string, param string, kind string, message string")
+    steps = spark.createDataFrame([(*r, "p", "p") for r in rows], "library string, caller string, callee string, param string, callee_param string")
+    assert graph.propagate_contracts(rules, steps).count() == 10
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
