@@ -272,13 +272,14 @@ def applicable_break_rules(upgrades: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``upgrades(repo_id, package, current_version, target_version)``. The package is the join key; the range is a filter.
     """
-    python = F.lit("PyPI")
-    current = version_key(F.col("current_version"), python)
-    target = version_key(F.col("target_version"), python)
-    breaking = version_key(F.col("breaking_in"), python)
-    return upgrades.join(rules, "package").where(
-        (current < breaking) & (F.col("target_version").isNull() | target.isNull() | (target >= breaking))
-    )
+    key = lambda version: version_key(F.col(version), F.lit("PyPI"))
+    # A rule's key is worked out before the join, an upgrade's once a row: a filter would repeat a plain column's expression.
+    keys = F.struct(key("current_version").alias("_current"), key("target_version").alias("_target"))
+    asked = upgrades.select("*", F.inline(F.array(keys)))
+    ruled = rules.select("*", F.inline(F.array(F.struct(key("breaking_in").alias("_breaking")))))
+    current, target, breaking = F.col("_current"), F.col("_target"), F.col("_breaking")
+    within = F.col("target_version").isNull() | target.isNull() | (target >= breaking)
+    return asked.join(ruled, "package").where((current < breaking) & within).drop("_current", "_target", "_breaking")
 
 
 def broken_call_sites(applicable: DataFrame, calls: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
