@@ -2,7 +2,8 @@
 
 A file is cut into tokens by one pattern, exploded, and from then on everything is windows over (file, position): the running
 depth of brackets, the partner of each bracket (the next bracket of its level), the words around a token. Strings and
-comments are single tokens, so nothing within them counts. All windows share the partitioning by file.
+comments are single tokens, so nothing within them counts. Texts are dealt by file before they are cut, so all windows share that
+partitioning and tokens aren't shuffled. Call sites are one chain from text to row, without a table of tokens between.
 """
 
 from __future__ import annotations
@@ -15,10 +16,19 @@ from riskframe.session import stage
 IDENT = r"[A-Za-z_$][\w$]*"
 COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 STRING = r'"(?:\\[\s\S]|[^"\\\n])*"|' + r"'(?:\\[\s\S]|[^'\\\n])*'|" + r"`(?:\\[\s\S]|[^`\\])*`"
-TOKEN = rf"{COMMENT}|{STRING}|{IDENT}|\d[\w.]*|=>|\.\.\.|\?\.|\s+|[\s\S]"
+# A token with the blanks before it.
+TOKEN = rf"\s*(?:{COMMENT}|{STRING}|{IDENT}|\d[\w.]*|=>|\.\.\.|\?\.|[\s\S])"
+BLANKS = " \t\n\x0b\f\r"
 
 SCRIPT_PATH = r"\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$"
 FILE = ["repo_id", "path"]
+FILES_A_TASK = 20_000
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """The files dealt by name: what is windowed or grouped by file later stays in its task. Tasks follow the number of files."""
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(least, -(-files.count() // FILES_A_TASK)), *FILE)
 
 
 def script_tokens(files: DataFrame) -> DataFrame:
@@ -30,19 +40,24 @@ def script_tokens(files: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy(*FILE).orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     step = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
+    comment = lambda c: c.startswith("//") | c.startswith("/*")
+    texts = _dealt(files.where(F.rlike("path", F.lit(SCRIPT_PATH))).select(*FILE, "text"))
     rows = (
-        files.where(F.rlike("path", F.lit(SCRIPT_PATH)))
-        .select(*FILE, F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-        .withColumn("step", step)
-        .withColumn("line", (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).cast("int"))
-        .withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0)).cast("int"))
-        .withColumn("spaced", F.lag(F.rlike("tok", F.lit(r"^(\s|//|/\*)")), 1, False).over(order))
-        .where(~F.rlike("tok", F.lit(r"^\s")))
-        .withColumn("doc", F.lag("tok").over(order))
+        texts.select(*FILE, F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "_cut"))
+        .withColumn("tok", F.ltrim("_cut", F.lit(BLANKS)))
+        .withColumns({"step": step, "_all": breaks(F.col("_cut")), "_own": breaks(F.col("tok"))})
+        .withColumns(
+            {
+                "line": (1 + F.coalesce(F.sum("_all").over(before), F.lit(0)) + F.col("_all") - F.col("_own")).cast("int"),
+                "depth": F.coalesce(F.sum("step").over(before), F.lit(0)).cast("int"),
+                "doc": F.lag("tok").over(order),
+            }
+        )
+        .withColumn("spaced", (F.length("_cut") > F.length("tok")) | F.coalesce(comment(F.col("doc")), F.lit(False)))
         .withColumn("doc", F.when(F.col("doc").startswith("/*"), F.col("doc")))
-        .where(~F.rlike("tok", F.lit(r"^(//|/\*)")))
+        .where((F.col("tok") != "") & ~comment(F.col("tok")))
         .withColumn("level", F.when(F.col("step") != 0, F.col("depth") + F.greatest("step", F.lit(0))))
     )
     same_level = Window.partitionBy(*FILE, "level").orderBy("pos")
@@ -80,21 +95,6 @@ def _pieces(tokens: DataFrame, opens: DataFrame, angles: bool) -> DataFrame:
     )
 
 
-def _argument_counts(tokens: DataFrame) -> DataFrame:
-    """Parts between the commas of every bracket: repo_id, path, open, args; brackets without content have no row.
-
-    A token at depth d lies directly in the last bracket opened to level d before it, so one window over (file, d) finds
-    the bracket of every token and a second one the tokens that begin a part: no token is dealt to more than one bracket.
-    """
-    opened = tokens.where(F.col("tok").isin("(", "[", "{")).select(*FILE, F.col("level").alias("_at"), "pos", F.lit("").alias("tok"), F.col("pos").alias("_open"))
-    inner = tokens.where(~F.col("tok").isin(")", "]", "}")).select(*FILE, F.col("depth").alias("_at"), "pos", "tok", F.lit(None).cast("int").alias("_open"))
-    running = Window.partitionBy(*FILE, "_at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = opened.unionByName(inner).withColumn("open", F.max("_open").over(running)).where("_open is null and open is not null")
-    previous = F.lag("tok").over(Window.partitionBy(*FILE, "open").orderBy("pos"))
-    begins = (F.col("tok") != ",") & (previous.isNull() | (previous == ","))
-    return placed.withColumn("_begins", begins).where("_begins").groupBy(*FILE, "open").agg(F.count(F.lit(1)).cast("int").alias("args"))
-
-
 def _heads(tokens: DataFrame, start: Column, stop: Column) -> DataFrame:
     """Statements from a ``start`` token to the first ``stop`` token after it (it included): repo_id, path, pos, line, doc, head, last, close, depth.
 
@@ -215,16 +215,13 @@ def script_exports(files: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------- call sites
-def _bindings(tokens: DataFrame) -> DataFrame:
-    """Local names of imported packages: repo_id, path, line, spec, local, member (null: the package itself), default."""
-    start = F.col("tok").isin("import", "const", "let", "var")
-    stop = F.rlike("tok", F.lit(r"^[\"'`]|^;$"))
-    statements = _heads(tokens, start, stop).select(*FILE, "line", "head")
+def _bindings(head: Column) -> tuple[Column, Column]:
+    """Specifier of a statement's text and its bindings: local name, member (null: the package itself), default."""
     quoted = r"[\"']([^\"']+)[\"']$"
     imported = rf"^import (?:type )?(?:{_NAME} ?,? ?)?(?:\{{([^}}]*)\}} ?)?(?:\* ?as {_NAME} )?from ?{quoted}"
     required = rf"^(?:const|let|var) {_NAME} ?= ?require\( ?{quoted}"
     unpacked = rf"^(?:const|let|var) ?\{{([^}}]*)\}} ?= ?require\( ?{quoted}"
-    pick = lambda pattern, group: F.nullif(F.trim(F.regexp_extract("head", pattern, group)), F.lit(""))
+    pick = lambda pattern, group: F.nullif(F.trim(F.regexp_extract(head, pattern, group)), F.lit(""))
     pair = lambda local, member, default: F.struct(local.alias("local"), member.alias("member"), F.lit(default).alias("default"))
     none = F.lit(None).cast("string")
 
@@ -243,50 +240,102 @@ def _bindings(tokens: DataFrame) -> DataFrame:
         one(pick(required, 1), none, True),
         members(pick(unpacked, 1), ":"),
     )
-    spec = F.coalesce(pick(imported, 4), pick(required, 2), pick(unpacked, 2))
-    return statements.select(*FILE, "line", spec.alias("spec"), F.explode(bound).alias("_b")).select(*FILE, "line", "spec", "_b.*").where("spec is not null")
+    return F.coalesce(pick(imported, 4), pick(required, 2), pick(unpacked, 2)), bound
+
+
+def _sites(tokens: DataFrame) -> DataFrame:
+    """Tokens with what call sites need of them; others are left out.
+
+    _at: the statement that binds names whose text the token belongs to, or the last one before it; _head: it belongs to it. _site, on the
+    bracket of a call or on a word that is none: line, local, before (the token before it), member (null: the word itself is called),
+    call, args (parts between the bracket's commas; null if it never closes).
+    """
+    order = Window.partitionBy(*FILE).orderBy("pos")
+    so_far, before = (order.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    tok = F.col("tok")
+    start, stop = tok.isin("import", "const", "let", "var"), F.rlike("tok", F.lit(r"^[\"'`]|^;$"))
+    word = F.rlike("tok", F.lit(rf"^{IDENT}$"))
+    around = {f"_b{i}": F.lag(F.struct("tok", "line", "_word"), i).over(order) for i in (1, 2, 3, 4)}
+    around |= {f"_n{i}": F.lead(F.struct("tok", "_word"), i).over(order) for i in (1, 2, 3)}
+    ends = {"_at": F.max(F.when(start, F.col("pos"))).over(so_far), "_stop": F.max(F.when(stop, F.col("pos"))).over(before)}
+    near = tokens.withColumn("_word", word).withColumns(around | ends)
+    nothing = F.lit("")
+    b = {i: F.coalesce(F.col(f"_b{i}.tok"), nothing) for i in (1, 2, 3, 4)}
+    n = {i: F.coalesce(F.col(f"_n{i}.tok"), nothing) for i in (1, 2, 3)}
+    site = lambda line, local, previous, member, call: F.struct(
+        line.alias("line"), local.alias("local"), previous.alias("before"), member.alias("member"), F.lit(call).alias("call")
+    )
+    bracket, dot = tok == "(", [".", "?."]
+    direct = bracket & F.col("_b1._word") & ~b[2].isin(dot)
+    called = bracket & F.col("_b1._word") & (b[2] == ".") & F.col("_b3._word") & ~b[4].isin(dot)
+    named = F.col("_word") & ~b[1].isin(dot) & (n[1] == ".") & F.col("_n2._word") & (n[3] != "(")
+    found = (
+        F.when(direct, site(F.col("_b1.line"), b[1], b[2], F.lit(None).cast("string"), True))
+        .when(called, site(F.col("_b3.line"), b[3], b[4], b[1], True))
+        .when(named, site(F.col("line"), tok, b[1], n[2], False))
+    )
+    head = F.col("_at").isNotNull() & ~F.coalesce(F.col("_stop") > F.col("_at"), F.lit(False))
+    # A part begins after an opening bracket or a comma, if anything but a comma or the bracket's end follows.
+    opens, comma = tok.isin("(", "[", "{"), tok == ","
+    begins = ((opens | comma) & ~n[1].isin("", ",", ")", "]", "}")).cast("int")
+    kept = near.select(
+        *FILE, "pos", "tok", "line", "spaced", "_at", head.alias("_head"), found.alias("_found"), begins.alias("_begins"),
+        F.when(comma, F.col("depth")).otherwise(F.col("level")).alias("_level"),
+        F.when(F.col("level").isNotNull(), opens).alias("_opens"),
+    ).where("_head or _found is not null or _level is not null")
+    same_level = Window.partitionBy(*FILE, "_level").orderBy("pos")
+    counted = kept.withColumn("_parts", F.sum("_begins").over(same_level.rowsBetween(Window.unboundedPreceding, 0)))
+    partner = "lead(if(_opens is not null, struct(_opens, _parts), null)) ignore nulls over (partition by repo_id, path, _level order by pos)"
+    args = F.when(~F.col("_next._opens"), (F.col("_next._parts") - F.col("_parts") + F.col("_begins")).cast("int"))
+    return counted.withColumn("_next", F.expr(partner)).select(
+        *FILE, "pos", "tok", "line", "spaced", "_at", "_head",
+        F.when(F.col("_found").isNotNull(), F.struct("_found.*", F.when(F.col("_found.call"), args).alias("args"))).alias("_site"),
+    )
 
 
 def script_usages(files: DataFrame, packages: DataFrame) -> DataFrame:
     """Where script files use packages: project_id, library, file, line, usage_kind, symbol, positional.
 
     ``packages(library)`` are the names imported from, with any path behind them. Bindings (default, namespace, named and renamed imports,
-    required packages and their unpacked members) are joined with the file's words by local name: ``local.member(`` and
+    required packages and their unpacked members) are matched with the file's words by local name: ``local.member(`` and
     ``local(`` are calls, other ``local.member`` references of a namespace. ``positional`` counts a call's arguments at
     bracket depth 0; null if the bracket never closes. Declaration files have no usages.
     """
-    tokens = stage(script_tokens(files.where(~F.endswith("path", F.lit(".d.ts")))))
-    package = F.regexp_extract("spec", r"^((?:@[^/]+/)?[^/]+)", 1)
-    bound = stage(_bindings(tokens).withColumn("library", package).join(packages.select("library").distinct(), "library"))
-    symbol = F.concat_ws(".", "library", "member")
-    imports = bound.groupBy(*FILE, "library", "line", symbol.alias("symbol")).agg(F.lit("import").alias("usage_kind"))
+    tokens = _sites(script_tokens(files.where(~F.endswith("path", F.lit(".d.ts")))))
+    text = _joined(F.array_sort(F.collect_list(F.when(F.col("_head"), F.struct("pos", "spaced", "tok")))))
+    first = F.min_by("line", "pos").alias("line")
+    statements = tokens.groupBy(*FILE, "_at").agg(text.alias("head"), first, F.collect_list("_site").alias("_sites"))
+    spec, bound = _bindings(F.col("head"))
+    package = F.regexp_extract(spec, r"^((?:@[^/]+/)?[^/]+)", 1)
+    names = F.transform(bound, lambda b: F.struct(b["local"], b["member"], b["default"], package.alias("library"), F.col("line")))
+    held = statements.select(*FILE, F.when(spec.isNotNull(), names).alias("_names"), "_sites")
+    whole = held.groupBy(*FILE).agg(F.flatten(F.collect_list("_names")).alias("_names"), F.flatten(F.collect_list("_sites")).alias("_sites"))
+    none = F.lit(None)
+
+    def row(library: Column, line: Column, kind: Column, symbol: Column, args: Column) -> Column:
+        return F.struct(
+            library.alias("library"), line.alias("line"), kind.alias("usage_kind"), symbol.alias("symbol"), args.cast("int").alias("positional")
+        )
 
-    order = Window.partitionBy(*FILE).orderBy("pos")
-    ahead = {f"_n{i}": F.lead(F.struct("tok", "pos", "close", "depth"), i).over(order) for i in (1, 2, 3)}
-    words = (
-        tokens.withColumns({**ahead, "_p": F.coalesce(F.lag("tok").over(order), F.lit(""))})
-        .where(F.rlike("tok", F.lit(rf"^{IDENT}$")) & ~F.col("_p").isin(".", "?.") & F.col("_n1.tok").isin(".", "("))
-        .withColumnRenamed("tok", "local")
+    imports = F.array_distinct(
+        F.transform("_names", lambda b: row(b["library"], b["line"], F.lit("import"), F.concat_ws(".", b["library"], b["member"]), none))
     )
-    names = bound.select(*FILE, "local", "library", "member", "default").distinct()
-    sites = words.join(names, [*FILE, "local"])
-    dotted = (F.col("_n1.tok") == ".") & F.col("member").isNull() & F.rlike("_n2.tok", F.lit(rf"^{IDENT}$"))
-    called = dotted & F.coalesce(F.col("_n3.tok") == "(", F.lit(False))
-    direct = (F.col("_n1.tok") == "(") & ~F.col("_p").isin("function", "import") & (F.col("member").isNotNull() | F.col("default"))
-    whole = F.coalesce("member", F.when(F.col("default"), F.lit("default")))
-    found = stage(
-        sites.where(dotted | direct).select(
-            *FILE,
-            "line",
-            "library",
-            F.concat_ws(".", "library", F.when(dotted, F.col("_n2.tok")).otherwise(whole)).alias("symbol"),
-            F.when(called | direct, "call").otherwise("reference").alias("usage_kind"),
-            F.when(called, F.col("_n3")).when(direct, F.col("_n1")).alias("_open"),
-        )
+    distinct = F.array_distinct(F.transform("_names", lambda b: F.struct(b["local"], b["library"], b["member"], b["default"])))
+
+    def uses(s: Column) -> Column:
+        own = s["member"].isNull() & ~s["before"].isin("function", "import")
+        fits = lambda b: (b["local"] == s["local"]) & F.when(b["member"].isNull(), s["member"].isNotNull() | (own & b["default"])).otherwise(own)
+        said = lambda b: F.coalesce(s["member"], b["member"], F.lit("default"))
+        kind = F.when(s["call"], "call").otherwise("reference")
+        return F.transform(F.filter("_bound", fits), lambda b: row(b["library"], s["line"], kind, F.concat_ws(".", b["library"], said(b)), s["args"]))
+
+    met = F.filter("_sites", lambda s: F.array_contains("_locals", s["local"]))
+    rows = (
+        whole.where(F.size("_names") > 0)
+        .select(*FILE, imports.alias("_imports"), distinct.alias("_bound"), F.col("_names.local").alias("_locals"), "_sites")
+        .select(*FILE, F.inline(F.concat("_imports", F.flatten(F.transform(met, uses)))))
     )
-    uses = found.withColumn("open", F.col("_open.pos")).join(_argument_counts(tokens), [*FILE, "open"], "left")
-    positional = F.when(F.col("_open.close").isNotNull(), F.coalesce("args", F.lit(0)))
-    columns = ["library", F.col("path").alias("file"), "line", "usage_kind", "symbol"]
-    return uses.select(F.col("repo_id").alias("project_id"), *columns, positional.alias("positional")).unionByName(
-        imports.select(F.col("repo_id").alias("project_id"), *columns, F.lit(None).cast("int").alias("positional"))
+    known = stage(packages.select("library").distinct())
+    return rows.join(known, "library", "left_semi").select(
+        F.col("repo_id").alias("project_id"), "library", F.col("path").alias("file"), "line", "usage_kind", "symbol", "positional"
     )

@@ -101,3 +101,14 @@ def test_token_depths_against_a_plain_scan(spark):
         elif r.tok in (")", "]", "}") and stack:
             want[stack.pop()] = r.pos
     assert {r.pos: r.close for r in rows if r.close is not None} == want and "".join(r.tok for r in rows if r.line == 2) == "g({"
+
+
+def test_call_sites_move_texts_and_no_tokens(spark):
+    text = "import { go } from 'lib';\n) go(1, [2, 3],\n  (4));\nother.go(1); go(go(), ) ] go(1,"
+    files = spark.createDataFrame([("r", "a.js", text), ("r", "b.js", "go(1)"), ("r", "c.js", None)], "repo_id string, path string, text string")
+    got = script_usages(files, spark.createDataFrame([("lib",)], "library string"))
+    rows = sorted((r.file, r.line, r.usage_kind, r.positional) for r in got.collect() if r.positional is not None or r.usage_kind == "import")
+    assert rows == [("a.js", 1, "import", None), ("a.js", 2, "call", 3), ("a.js", 4, "call", 0), ("a.js", 4, "call", 1)]
+    assert [r.line for r in got.collect() if r.usage_kind == "call" and r.positional is None] == [4]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(repo_id") == 1
