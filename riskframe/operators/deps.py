@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from riskframe.functions.lookup import advisory_rank, lookup
 from riskframe.functions.paths import is_test_path
 from riskframe.functions.versions import age_days, version_gap, version_key
 from riskframe.operators.graph import connected_groups
+from riskframe.session import stage
 
 
 def advisory_status(deps: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -267,16 +270,24 @@ def incompatible_licenses(deps_with_registry: DataFrame, projects: DataFrame) ->
 
 
 # ---------------------------------------------------------------------------------------- upgrades
+def _with_keys(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with the key of each version column, worked out once a version instead of once a row; null stays null."""
+    each = [rows.select(F.col(name).alias("_version")).distinct() for name in columns]
+    versions = reduce(DataFrame.unionByName, each).distinct().where(F.col("_version").isNotNull())
+    known = stage(versions.select("_version", version_key(F.col("_version"), F.lit("PyPI")).alias("_key")))
+    keyed = rows
+    for name, key in columns.items():
+        keyed = keyed.join(known.select(F.col("_version").alias(name), F.col("_key").alias(key)), name, "left")
+    return keyed.select(*rows.columns, *columns.values())
+
+
 def applicable_break_rules(upgrades: DataFrame, rules: DataFrame) -> DataFrame:
     """Documented breaking changes between the current and the target version; no target means up to the latest.
 
     ``upgrades(repo_id, package, current_version, target_version)``. The package is the join key; the range is a filter.
     """
-    key = lambda version: version_key(F.col(version), F.lit("PyPI"))
-    # A rule's key is worked out before the join, an upgrade's once a row: a filter would repeat a plain column's expression.
-    keys = F.struct(key("current_version").alias("_current"), key("target_version").alias("_target"))
-    asked = upgrades.select("*", F.inline(F.array(keys)))
-    ruled = rules.select("*", F.inline(F.array(F.struct(key("breaking_in").alias("_breaking")))))
+    asked = _with_keys(upgrades, {"current_version": "_current", "target_version": "_target"})
+    ruled = _with_keys(rules, {"breaking_in": "_breaking"})
     current, target, breaking = F.col("_current"), F.col("_target"), F.col("_breaking")
     within = F.col("target_version").isNull() | target.isNull() | (target >= breaking)
     return asked.join(ruled, "package").where((current < breaking) & within).drop("_current", "_target", "_breaking")
@@ -288,7 +299,9 @@ def broken_call_sites(applicable: DataFrame, calls: DataFrame, assignments: Data
     ``calls(repo_id, path, line, resolved, keywords, receiver, receiver_call, method)``;
     ``assignments(repo_id, path, name, callee)`` tell which call a variable holds the result of.
     """
-    rules = applicable.select(
+    # Three kinds of calls are joined with the rules, which are worked out once. One rule may apply to a package's upgrades of any version.
+    asked = applicable.select("repo_id", "package", "id", "call", "condition", "keyword", "method").distinct()
+    rules = stage(asked).select(
         "repo_id", "package", "id", "call", "condition", "keyword", "method", F.element_at(F.split("call", r"\."), -1).alias("_tail")
     ).withColumnRenamed("method", "_method")
     wildcard = F.col("call").startswith("*.")
