@@ -341,12 +341,15 @@ def members_key() -> Column:
     return F.sum(F.xxhash64("finding_id").cast("decimal(38,0)"))
 
 
-def assess(members: DataFrame) -> DataFrame:
-    """One row per candidate; confidence = geometric mean of the members' confidences times the link strength."""
+def assess(members: DataFrame, *further: Column) -> DataFrame:
+    """One row per candidate; confidence = geometric mean of the members' confidences times the link strength.
+
+    ``further`` aggregates of the members are taken in the same pass.
+    """
     mean = F.exp(F.avg(F.ln(F.greatest(F.lit(0.01), F.col("confidence")))))
     return (
         members.groupBy(*KEY, "relationship_type", "risk_multiplier", "link_strength")
-        .agg(mean.alias("_mean"), F.count("*").alias("n_members"), F.size(F.collect_set("agent")).alias("n_agents"), members_key().alias("members_key"))
+        .agg(mean.alias("_mean"), F.count("*").alias("n_members"), F.size(F.collect_set("agent")).alias("n_agents"), members_key().alias("members_key"), *further)
         .withColumn(
             "confidence",
             stable_round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("_mean") * F.col("link_strength"))), 3),

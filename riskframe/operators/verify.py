@@ -461,26 +461,34 @@ def broken_package_links(members: DataFrame, findings: DataFrame, import_users:
     return touched.select("repo_id", "signature").distinct().join(hits, ["repo_id", "signature"], "left_anti")
 
 
+def status_counts() -> list[Column]:
+    """What a ruling needs of the members of a relationship: how many of each status, and the lead's."""
+    s = F.col("status")
+    return [
+        F.count_if(s == "verified").alias("verified"),
+        F.count_if(s == "rejected").alias("rejected"),
+        F.count_if(~s.isin("verified", "rejected")).alias("pending"),
+        F.max(F.when(F.col("is_lead"), s)).alias("lead_status"),
+    ]
+
+
 def rule_on_correlations(
-    correlations: DataFrame, members: DataFrame, findings: DataFrame, broken_links: DataFrame | None = None
+    correlations: DataFrame, members: DataFrame | None = None, findings: DataFrame | None = None, broken_links: DataFrame | None = None
 ) -> DataFrame:
     """Rule on every proposed relationship from the statuses of its members.
 
+    The statuses are those of ``findings``; without members and findings, the correlations were assessed with ``status_counts``.
+
     A contradiction is resolved when one side is verified and another rejected, and rejected when both are settled
     otherwise. Any other link needs two verified members and a lead that is not rejected; it waits while verified and
     pending members still make two.
     """
-    current = members.select("repo_id", "signature", "finding_id", "is_lead").join(
-        findings.select("repo_id", "finding_id", "status"), ["repo_id", "finding_id"]
-    )
-    s = F.col("status")
-    counts = current.groupBy("repo_id", "signature").agg(
-        F.count_if(s == "verified").alias("verified"),
-        F.count_if(s == "rejected").alias("rejected"),
-        F.count_if(~s.isin("verified", "rejected")).alias("pending"),
-        F.max(F.when(F.col("is_lead"), s)).alias("lead_status"),
-    )
-    df = correlations.where(F.col("status") == "proposed").join(counts, ["repo_id", "signature"])
+    df = correlations.where(F.col("status") == "proposed")
+    if members is not None:
+        current = members.select("repo_id", "signature", "finding_id", "is_lead").join(
+            findings.select("repo_id", "finding_id", "status"), ["repo_id", "finding_id"]
+        )
+        df = df.join(current.groupBy("repo_id", "signature").agg(*status_counts()), ["repo_id", "signature"])
     if broken_links is not None:
         df = df.join(broken_links.withColumn("_broken", F.lit(True)), ["repo_id", "signature"], "left")
     else:

@@ -201,9 +201,17 @@ headers AS (
 
 
 def correlated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and the members of all candidate relationships, both staged: every generator and ruling reads them."""
-    findings = stage(scored_findings(spark, sf_dir).drop("confidence_factors"))
-    return findings, stage(correlate.candidate_members(findings))
+    """Findings and the members of all candidate relationships, both staged: every generator and ruling reads them.
+
+    What no relationship reads is dropped before: the kinds of evidence aren't gathered, members carry no facts but those ruled by.
+    """
+    findings = stage(scored_findings(spark, sf_dir).drop("confidence_factors", "source_types"))
+    return findings, stage(correlate.candidate_members(findings).drop("category", "severity", "created_at"))
+
+
+def ruled_correlations(members: DataFrame) -> DataFrame:
+    """Candidates of staged members, ruled by the statuses the members carry: assessed and counted in one pass."""
+    return verify.rule_on_correlations(correlate.assess(members, *verify.status_counts()))
 
 
 def _generator_query(name: str, generate, kind_filter: str):
@@ -290,8 +298,8 @@ ruled AS (
     uses=("findings", "evidence"),
 )
 def correlation_ruling(spark, sf_dir):
-    findings, members = correlated(spark, sf_dir)
-    ruled = verify.rule_on_correlations(correlate.assess(members), members, findings)
+    _findings, members = correlated(spark, sf_dir)
+    ruled = ruled_correlations(members)
     return ruled.select("repo_id", "signature", "verified", "rejected", "pending", "decision", "status")
 
 
@@ -316,7 +324,7 @@ SCORE_SQL = "round(100 * (1 - exp(-2.2e0 * {w} * {c} * {i} * {e} * {m})) + 1e-10
 )
 def finding_risk_with_links(spark, sf_dir):
     findings, members = correlated(spark, sf_dir)
-    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
+    ruled = stage(ruled_correlations(members))
     return risk.finding_risks(findings, ruled, members).select("repo_id", "finding_id", "multiplier", "via", "score")
 
 
@@ -336,7 +344,7 @@ def finding_risk_with_links(spark, sf_dir):
 )
 def compound_risk(spark, sf_dir):
     findings, members = correlated(spark, sf_dir)
-    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
+    ruled = stage(ruled_correlations(members))
     return risk.compound_risks(findings, ruled, members).select(
         "repo_id",
         "signature",

@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from riskframe.operators import code_rules, correlate, orchestrate, recommend, risk, sequence, verify
+from riskframe.session import stage
 from riskframe.sources.adapters import adapt
 from riskframe.sources.pyfacts import python_facts
 
@@ -166,3 +167,17 @@ def test_next_phase(spark):
     rows = [(False, 1, 0, 5, 5, 0, 0, 0), (False, 0, 0, 6, 5, 0, 1, 0), (False, 0, 0, 5, 5, 0, 1, 0), (False, 0, 0, 5, 5, 0, 0, 0), (True, 1, 1, 9, 0, 0, 9, 0)]
     df = spark.createDataFrame(rows, "cancelled boolean, retries int, follow_ups int, version int, correlated_version int, correlation_rounds int, pending int, verification_rounds int")
     assert [r.next_step for r in orchestrate.next_phase(df).collect()] == ["dispatch", "correlate", "verify", "assess", "finalize"]
+
+
+def test_ruling_from_statuses_the_members_carry_is_one_pass(spark):
+    statuses = ("verified", "rejected", "proposed", "verified", "needs_more_evidence")
+    rows = [finding(i, category="dependency", package=f"p{i // 3}", status=statuses[i % 5]) for i in range(24)]
+    findings = frame(spark, *rows)
+    members = stage(correlate.shared_root_causes(correlate.open_findings(findings)))
+    apart = verify.rule_on_correlations(correlate.assess(members), members, findings)
+    at_once = verify.rule_on_correlations(correlate.assess(members, *verify.status_counts()))
+    columns = sorted(apart.columns)
+    assert sorted(at_once.columns) == columns
+    want = sorted(map(tuple, apart.select(*columns).collect()), key=repr)
+    assert want and sorted(map(tuple, at_once.select(*columns).collect()), key=repr) == want
+    assert "Join" not in at_once._jdf.queryExecution().optimizedPlan().toString()
