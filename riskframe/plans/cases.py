@@ -15,6 +15,7 @@ from riskframe.plans.findings import (
     RULING_SQL,
     SCORE_SQL,
     correlated,
+    ruled_correlations,
     scored_findings,
 )
 from riskframe.plans.registry import query
@@ -172,7 +173,7 @@ def counter_evidence(spark, sf_dir):
 )
 def recommendations(spark, sf_dir):
     findings, members = correlated(spark, sf_dir)
-    ruled = stage(verify.rule_on_correlations(correlate.assess(members), members, findings))
+    ruled = stage(ruled_correlations(members))
     compounds = risk.compound_risks(findings, ruled, members)
     rows = recommend.recommendations(risk.finding_risks(findings), compounds, members, findings)
     return rows.select("repo_id", "kind", "risk_key", "score")
