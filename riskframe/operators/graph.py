@@ -86,21 +86,33 @@ def transitive_importers(edges: DataFrame, files: DataFrame) -> DataFrame:
     return out.unionByName(self_loops.join(files, ["repo_id", "path"], "left_semi")).distinct()
 
 
+def _hashed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a hash of a path as the first key of joins: paths begin alike, so sorting by them compares whole texts."""
+    return df.withColumn("_h", F.xxhash64(column))
+
+
 def reach_of_files(files: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """How far production can get to each Python file: entrypoint, reachable, test_only or unreferenced.
 
     One rank travels from importers to what they import: an entry point's, a production module's or a test's. A node
-    keeps the best rank it receives, so no importer pairs are built.
+    keeps the best rank it receives, so no importer pairs are built. Nodes get numbers first: the rounds move no paths.
     ``files(repo_id, path)``, ``edges(repo_id, importer, path)``, ``entrypoints(repo_id, path)``.
     """
+    key = ["_h", "repo_id", "node"]
+    links = edges.select("repo_id", F.col("importer").alias("node"), F.col("path").alias("imported")).dropna()
+    ends = links.select("repo_id", "node").unionByName(links.select("repo_id", F.col("imported").alias("node")))
     entries = entrypoints.select("repo_id", F.col("path").alias("node")).distinct().withColumn("_entry", F.lit(True))
     production = ~is_test_path(F.col("node"))
     rank = F.when(production & F.coalesce("_entry", F.lit(False)), 3).when(production, 2).otherwise(1)
+    nodes = _hashed(ends, "node").distinct().join(_hashed(entries, "node"), key, "left")
+    numbered = stage(nodes.select(*key, rank.alias("rank"), F.monotonically_increasing_id().alias("id")))
     # A file's own rank is not about itself: it starts at what the file imports.
-    links = edges.select("repo_id", F.col("importer").alias("node"), F.col("path").alias("imported"))
-    named = links.where(F.col("repo_id").isNotNull() & F.col("node").isNotNull())
-    started = named.join(entries, ["repo_id", "node"], "left").select("repo_id", F.col("imported").alias("node"), rank.alias("rank"))
-    best = spread_best(started, links, "node", "imported", ["repo_id"]).withColumnRenamed("node", "path")
+    started = _hashed(links, "node").join(numbered.withColumnRenamed("id", "a"), key).select(
+        F.xxhash64("imported").alias("_h"), "repo_id", F.col("imported").alias("node"), "a", "rank"
+    )
+    steps = stage(started.join(numbered.drop("rank"), key).select("a", F.col("id").alias("b"), "rank"))
+    best = spread_best(steps.select(F.col("b").alias("a"), "rank"), steps.select("a", "b"), "a", "b", [])
+    named = numbered.drop("rank").join(best.withColumnRenamed("a", "id"), "id").select("_h", "repo_id", F.col("node").alias("path"), "rank")
     reach = (
         F.when(~F.col("path").endswith(".py"), F.lit("n/a"))
         .when(F.coalesce("_self", F.lit(False)) | (F.col("rank") == 3), F.lit("entrypoint"))
@@ -108,11 +120,12 @@ def reach_of_files(files: DataFrame, edges: DataFrame, entrypoints: DataFrame) -
         .when(F.col("rank") == 1, F.lit("test_only"))
         .otherwise(F.lit("unreferenced"))
     )
-    own_entry = entrypoints.select("repo_id", "path").distinct().withColumn("_self", F.lit(True))
+    place = ["_h", "repo_id", "path"]
+    own_entry = _hashed(entrypoints.select("repo_id", "path").distinct(), "path").withColumn("_self", F.lit(True))
     return (
-        files.select("repo_id", "path")
-        .join(best, ["repo_id", "path"], "left")
-        .join(own_entry, ["repo_id", "path"], "left")
+        _hashed(files.select("repo_id", "path"), "path")
+        .join(named, place, "left")
+        .join(own_entry, place, "left")
         .select("repo_id", "path", reach.alias("reach"))
     )
 
@@ -120,7 +133,34 @@ def reach_of_files(files: DataFrame, edges: DataFrame, entrypoints: DataFrame) -
 def best_reach(members: DataFrame, reach: DataFrame, keys: list[str]) -> DataFrame:
     """The best reach among the files of each key; ``members(keys…, repo_id, path)``."""
     rank = lookup(F.col("reach"), REACH_ORDER, 9)
-    return members.join(reach, ["repo_id", "path"]).groupBy(*keys).agg(F.min_by("reach", rank).alias("reach"))
+    names = F.array(*[F.lit(name) for name in REACH_ORDER])
+    found = _hashed(members, "path").join(_hashed(reach, "path"), ["_h", "repo_id", "path"])
+    return found.groupBy(*keys).agg(F.min(rank).alias("_rank")).select(*keys, F.get(names, F.col("_rank")).alias("reach"))
+
+
+def best_reach_of_members(members: DataFrame, edges: DataFrame, entrypoints: DataFrame, keys: list[str]) -> DataFrame:
+    """The best reach among the files of each key, ``members(keys…, repo_id, path)``; the graph is walked only where it can matter.
+
+    Nothing is better than an entry point: a key has its answer with one among its own files, or with a file that one
+    imports. Only if other keys are left are all edges followed, and the files of these keys looked up.
+    """
+    place = ["repo_id", "path"]
+    left = members.where(F.col("repo_id").isNotNull() & F.col("path").isNotNull())
+    entries = entrypoints.select(*place).distinct()
+    production = entries.where(~is_test_path(F.col("path"))).withColumnRenamed("path", "importer")
+    imported = edges.join(production, ["repo_id", "importer"], "left_semi").select(*place)
+    settled = None
+    for top in (entries, imported):
+        found = stage(left.join(top.where(F.col("path").endswith(".py")).distinct(), place, "left_semi").select(*keys).distinct())
+        settled = found if settled is None else settled.unionByName(found)
+        open_keys = stage(left.select(*keys).distinct().subtract(found))
+        if open_keys.isEmpty():
+            return settled.withColumn("reach", F.lit("entrypoint"))
+        # Null keys are keys as well. Each round's members are written: the next one reads only what is left.
+        named = open_keys.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        left = stage(left.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi").distinct())
+    reach = reach_of_files(left.select(*place).distinct(), stage(edges), entrypoints)
+    return settled.withColumn("reach", F.lit("entrypoint")).unionByName(best_reach(left, reach, keys))
 
 
 def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -260,13 +260,12 @@ REACH_CASE = "CASE {x} WHEN 'entrypoint' THEN 0 WHEN 'reachable' THEN 1 WHEN 'te
     + f") SELECT repo_id, package, arg_min(reach, {REACH_CASE.format(x='reach')}) AS reach FROM uses JOIN found USING (repo_id, path) GROUP BY repo_id, package",
 )
 def dependency_reach(spark, sf_dir):
-    edges = stage(import_edges(spark, sf_dir))
-    nodes = nodes_of(edges)
-    reach = graph.reach_of_files(nodes, edges, nodes.where(F.contains("path", F.lit("/api/"))))
+    edges = import_edges(spark, sf_dir)
+    entries = nodes_of(edges).where(F.contains("path", F.lit("/api/")))
     uses = table(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey % 20 AS repo_id", "concat('lib', l_partkey % 50) AS package", f"{MODULE_SQL.format(p='l_partkey')} AS path"
-    ).distinct()
-    return graph.best_reach(uses, reach, ["repo_id", "package"])
+    )
+    return graph.best_reach_of_members(uses, edges, entries, ["repo_id", "package"])
 
 
 # Names form chains of 100 by key: n1 re-exports n0 of its library, and so on; in every fifth library the chain is a circle.
