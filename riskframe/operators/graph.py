@@ -271,9 +271,10 @@ def inherited_members(classes: DataFrame, members: DataFrame, vanished: DataFram
     )
 
 
-def _doublings(pairs: DataFrame, node: str, keys: list[str]) -> int:
-    """Rounds after which no path without a circle is longer than the pairs doubled so often."""
-    return max(1, pairs.select(*keys, node).distinct().count()).bit_length()
+def _doublings(pairs: DataFrame, node: list[str], keys: list[str]) -> int:
+    """Rounds after which no path without a circle is longer than the pairs doubled so often. Paths stay within their ``keys``."""
+    longest = pairs.select(*keys, *node).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (longest or 0).bit_length()
 
 
 def _merged(df: DataFrame) -> DataFrame:
@@ -285,21 +286,22 @@ def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
     """Resolve re-exported names to the symbols behind them: ``library, name, target``.
 
     ``aliases(library, name, source)``, ``symbols(library, name)``. Pointers are doubled: a name that still points at an alias
-    takes over where that one points to, so chains of n steps take log2(n) rounds. Names that only lead round in a circle are
-    still open after as many rounds as the longest possible chain needs, and have no target.
+    takes over where that one points to, so chains of n steps take log2(n) rounds, and each round writes only the pointers it
+    moved. Names that only lead round in a circle are still open after as many rounds as the longest possible chain of a
+    library needs, and have no target.
     """
-    real = symbols.select("library", F.col("name").alias("at")).distinct()
-    step = stage(aliases.select("library", "name", F.col("source").alias("at")).distinct())
-    done = stage(step.join(_merged(real), ["library", "at"], "left_semi").select("library", "name", F.col("at").alias("target")))
-    pending = stage(step.join(_merged(real), ["library", "at"], "left_anti").select("library", "name", "at"))
-    for _ in range(_doublings(step, "name", ["library"])):
+    real = symbols.select("library", F.col("name").alias("at"), F.lit(True).alias("_real")).distinct()
+    step = aliases.select("library", "name", F.col("source").alias("at")).distinct().join(_merged(real), ["library", "at"], "left")
+    moved = stage(step.select("library", "name", "at", F.coalesce("_real", F.lit(False)).alias("_real")))
+    done, pending = moved.where("_real"), moved.where("NOT _real")
+    for _ in range(_doublings(pending, ["name"], ["library"])):
         if pending.isEmpty():
             break
-        known = done.select("library", F.col("name").alias("at"), "target")
-        done = stage(done.unionByName(pending.join(_merged(known), ["library", "at"]).select("library", "name", "target")).distinct())
-        onward = pending.select("library", F.col("name").alias("at"), F.col("at").alias("_on"))
-        pending = stage(pending.join(_merged(onward), ["library", "at"]).select("library", "name", F.col("_on").alias("at")).distinct())
-    return done
+        onward = done.unionByName(pending).select("library", F.col("name").alias("at"), F.col("at").alias("_on"), "_real")
+        over = pending.select("library", "name", "at").join(_merged(onward), ["library", "at"])
+        moved = stage(over.select("library", "name", F.col("_on").alias("at"), "_real").distinct())
+        done, pending = done.unionByName(moved.where("_real")), moved.where("NOT _real")
+    return done.select("library", "name", F.col("at").alias("target")).distinct()
 
 
 def propagate_contracts(rules: DataFrame, delegates: DataFrame) -> DataFrame:
@@ -317,7 +319,7 @@ def propagate_contracts(rules: DataFrame, delegates: DataFrame) -> DataFrame:
     )
     held = stage(rules.select(*node, "kind", "message", F.lit(0).cast("long").alias("_far")))
     stated = held
-    for round_ in range(_doublings(steps, "name", ["library", "param"])):
+    for round_ in range(_doublings(steps, ["name", "param"], ["library"])):
         if steps.isEmpty():
             break
         behind = held.select("library", F.col("name").alias("_name"), F.col("param").alias("_param"), "kind", "message", "_far")

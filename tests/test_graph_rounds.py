@@ -95,3 +95,60 @@ def test_staged_tables_are_not_broadcast_for_their_small_files(spark, monkeypatc
     steps = spark.createDataFrame([(*r, "p", "p") for r in rows], "library string, caller string, callee string, param string, callee_param string")
     assert graph.propagate_contracts(rules, steps).count() == 10
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_alias_rounds_follow_the_longest_library_and_write_only_what_moved(spark, monkeypatch):
+    written = []
+    keep = graph.stage
+
+    def counted(df):
+        kept = keep(df)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(graph, "stage", counted)
+    # Forty libraries, each with a circle of three names and a chain of three to a symbol.
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("z", "y"), ("y", "x"), ("x", "s")]
+    aliases = spark.createDataFrame([(f"l{i}", *p) for i in range(40) for p in pairs], "library string, name string, source string")
+    symbols = spark.createDataFrame([(f"l{i}", "s") for i in range(40)], "library string, name string")
+    got = graph.follow_aliases(aliases, symbols).collect()
+    assert sorted((r.library, r.name, r.target) for r in got) == sorted((f"l{i}", n, "s") for i in range(40) for n in "xyz")
+    # Of each library all six pointers; the five not at the symbol yet; the circle and "z"; the circle, which the third round leaves open.
+    assert written == [240, 200, 160, 120]
+
+
+def test_aliases_against_single_steps(spark):
+    rng = random.Random(4)
+    for size in (5, 18):
+        names = [f"n{i}" for i in range(size)]
+        libraries = ("p", "q", None)
+        rows = [(rng.choice(libraries), rng.choice(names), rng.choice([*names, None])) for _ in range(3 * size)]
+        real = {(rng.choice(libraries[:2]), rng.choice(names)) for _ in range(4)}
+        want = set()
+        for library, name, source in rows:
+            todo, seen = [source], set()
+            while todo and library is not None:
+                here = todo.pop()
+                if here is None or here in seen:
+                    continue
+                seen.add(here)
+                if (library, here) in real:
+                    want.add((library, name, here))
+                else:
+                    todo += [s for lib, n, s in rows if (lib, n) == (library, here)]
+        got = graph.follow_aliases(
+            spark.createDataFrame(rows, "library string, name string, source string"), spark.createDataFrame([*real, *real], "library string, name string")
+        ).collect()
+        assert sorted((r.library, r.name, r.target) for r in got) == sorted(want)
+
+
+def test_contract_rounds_follow_the_longest_library(spark, monkeypatch):
+    written = []
+    keep = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: written.append(df) or keep(df))
+    steps = [(f"l{i}", a, b, p, q) for i in range(40) for a, b, p, q in [("a", "b", "p", "q"), ("b", "a", "q", "p"), ("d", "c", "r", "q"), ("c", "s", "q", "t")]]
+    rules = spark.createDataFrame([(f"l{i}", "s", "t", "deprecated", "m") for i in range(40)], "library string, name string, param string, kind string, message string")
+    got = graph.propagate_contracts(rules, spark.createDataFrame(steps, "library string, caller string, callee string, param string, callee_param string")).collect()
+    assert sorted((r.library, r.name, r.param) for r in got) == sorted((f"l{i}", *x) for i in range(40) for x in [("s", "t"), ("c", "q"), ("d", "r")])
+    # Steps and rules, then both in each of three rounds: four names of a library forward their parameter.
+    assert len(written) == 8
